@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality
+from . import bpe, classifier, packing, quality
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,12 +23,16 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_quality_rules, op7_packing, op10_byte_bpe)}
+    return {f.__name__: f for f in (op3_quality_rules, op7_packing, op8_quality_classifier, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
