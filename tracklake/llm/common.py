@@ -89,33 +89,25 @@ def thinned(df: DataFrame, key: str, by: DataFrame, by_key: str, bits: int = 18)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges`` (a, b: long): rows (id, component), the smallest id reachable.
+    """Connected components of ``edges`` (a, b: long): rows (id, component), the least id reachable.
 
-    Alternates large-star and small-star steps, each two shuffles of at most the edges; the
-    number of rounds grows with the logarithm of the component size.  Every round is written to
-    the shared folder, so that a lost executor costs one round at most.  Nodes without edges don't appear.
+    Alternates large-star and small-star steps over the edges, which never grow in number; the
+    rounds needed grow with the logarithm of a component's size.  Every round is written to the
+    shared folder, so a lost executor costs a round at most.  Nodes without edges don't appear.
     """
-    e = edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct()
-    e = durable(e, "edges")
-    if e.isEmpty():
-        return e.selectExpr("a AS id", "b AS component")
-    last = None
+    e = durable(edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), "edges")
     for _ in range(rounds):
-        # large star: each node's larger neighbours are tied to its smallest neighbour
-        both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # a forest of stars: each a has one edge, and no b is an a
+        ends = e.select("a", F.lit(1).alias("low"), F.lit(0).alias("high")).union(e.select("b", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("a").agg(F.sum("low").alias("low"), F.sum("high").alias("high"))
+        if ends.where("low > 1 OR (low > 0 AND high > 0)").isEmpty():
+            return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(e.select("b", F.col("b").alias("c")).distinct())
+        # large star: each node's larger neighbours are tied to its least neighbour or itself
+        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        # small star: each node and its smaller neighbours are tied to the smallest of them
-        large = large.where("a <> b").distinct()
+        # small star: each node and its smaller neighbours are tied to the least of them
         small = large.groupBy("a").agg(F.min("b").alias("m"))
-        tied = large.join(small, "a")
-        e = tied.select(F.col("b").alias("a"), F.col("m").alias("b")).union(tied.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        e = durable(e, "star")
-        n, nodes, mark = e.agg(F.count("*"), F.count_distinct("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == last and n == nodes:
-            break
-        last = mark
-    else:
-        raise RuntimeError("components did not settle")
-    ids = e.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return ids.union(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+        tied = large.join(small, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x"))
+        e = durable(tied.select(F.col("x.b").alias("a"), F.col("x.m").alias("b")).where("a <> b").distinct(), "edges")
+    raise RuntimeError("components did not settle")
