@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, classifier, minhash, packing, quality
+from . import bpe, classifier, embeddings, minhash, packing, quality
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.grouped(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.grouped(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -36,7 +40,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_quality_rules, op4_minhash, op7_packing, op8_quality_classifier, op10_byte_bpe)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_minhash, op5_embedding_dedup, op7_packing, op8_quality_classifier, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
