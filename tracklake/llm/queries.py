@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, classifier, embeddings, minhash, packing, quality
+from . import bpe, classifier, embeddings, minhash, packing, pii, quality
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,12 +35,16 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_quality_rules, op4_minhash, op5_embedding_dedup, op7_packing, op8_quality_classifier, op10_byte_bpe)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_minhash, op5_embedding_dedup, op7_packing, op8_quality_classifier, op9_pii, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
