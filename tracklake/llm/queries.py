@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, classifier, embeddings, html, minhash, packing, pii, quality
+from . import bpe, classifier, embeddings, html, lines, minhash, packing, pii, quality
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extracted(table(spark, sf_dir, "pages"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -48,7 +52,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_html_extraction, op3_quality_rules, op4_minhash, op5_embedding_dedup, op7_packing, op8_quality_classifier, op9_pii, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_line_dedup, op3_quality_rules, op4_minhash, op5_embedding_dedup, op7_packing, op8_quality_classifier, op9_pii, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
