@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, classifier, embeddings, html, lines, minhash, packing, pii, quality
-from .common import table
+from . import bpe, classifier, counts, embeddings, html, lines, minhash, packing, pii, quality
+from .common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,11 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.grouped(table(spark, sf_dir, "embeddings"), cosine=0.9)
 
 
+def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return counts.maintained(docs, scratch(spark, "rollup"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, "byte_bpe_50k")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -52,7 +57,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_line_dedup, op3_quality_rules, op4_minhash, op5_embedding_dedup, op7_packing, op8_quality_classifier, op9_pii, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_line_dedup, op3_quality_rules, op4_minhash, op5_embedding_dedup, op6_token_rollup, op7_packing, op8_quality_classifier, op9_pii, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
