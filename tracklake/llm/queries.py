@@ -56,8 +56,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_line_dedup, op3_quality_rules, op4_minhash, op5_embedding_dedup, op6_token_rollup, op7_packing, op8_quality_classifier, op9_pii, op10_byte_bpe)}
+    ops = (
+        op1_html_extraction, op2_line_dedup, op3_quality_rules, op4_minhash, op5_embedding_dedup, op6_token_rollup,
+        op7_packing, op8_quality_classifier, op9_pii, op10_byte_bpe, pipeline,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
