@@ -18,8 +18,18 @@ WHITE = bytes([0x20, *range(0x09, 0x0E)])
 _shipped: set[str] = set()
 
 
+#: Arrow batches hold whole texts: so many rows and bytes at most, unless the session says otherwise.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", "8388608")}
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, for functions pickled by name."""
+    """Send this package to the executors, once per application, for functions pickled by name.
+
+    Also bounds the session's Arrow batches where they still have Spark's defaults.
+    """
+    for name, (default, ours) in BATCHES.items():
+        if spark.conf.get(name, default).rstrip("bB") in (default, "64m", "64M", str(2**31 - 1)):
+            spark.conf.set(name, ours)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -60,15 +70,21 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, deleted when the driver's process ends."""
+    path = f"{shared_dir(spark)}/tracklake/{tag}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 def durable(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
     The files go when the driver's process ends; they stay valid for every DataFrame made from them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tracklake/{tag}-{uuid.uuid4().hex}"
+    path = scratch(spark, tag)
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
