@@ -20,10 +20,12 @@ def start(spark: SparkSession, folder: str, store: str, checkpoint: str, cfg: Co
     """Start the stream; ``header``: the files' columns in order, the known ones by default."""
     names = header or list(vars(cfg.columns).values())
     raw = spark.readStream.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).option("header", True).option("escape", '"').csv(folder)
-    raw = raw.withColumn("seq", F.struct(F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")))
+    place = F.struct(F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    raw = raw.withColumn("place", place)
 
     def keep(batch: DataFrame, number: int) -> None:
-        clean.with_shard(clean.dedup(clean.by_vessel(clean.clean(batch, cfg))), cfg).write.mode("overwrite").parquet(f"{store.rstrip('/')}/batch={number}")
+        rows = batch.withColumn("seq", F.struct("place.*", F.monotonically_increasing_id().alias("row")))
+        clean.ingested(rows, cfg).write.mode("overwrite").parquet(f"{store.rstrip('/')}/batch={number}")
 
     return raw.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
