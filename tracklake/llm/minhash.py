@@ -6,10 +6,12 @@
 2. Nodes that agree in all rows of a band share a bucket.  A bucket gives star-shaped candidate
    edges: its centre, the least node, to each other member; never all pairs.
 3. Candidates are confirmed on their full sets and give components.  A bucket whose members are
-   then of several components is still open: it gets further stars from other centres, only to
-   members outside the centre's component.  What ``stars`` rounds leave open is compared in full
-   between components, so no link in a bucket is lost to the star shape.  Comparisons inside a
-   component can't change the result and aren't made.
+   then of several components is still open: it gets ``stars`` further stars from other centres,
+   only to members outside the centre's component.
+4. What is open after that is compared in full between components, so no link in a bucket is lost
+   to the star shape.  This goes by blocks of a bucket: sets of two blocks meet in a task, pairs
+   are counted in memory and never become rows, each pair in the first bucket that it shares, and
+   a component that is found linked isn't compared again.
 
 Two sets with a share in common of 0.8 miss all 20 bands of 4 rows with probability 0.00003.
 
@@ -174,6 +176,58 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return x.where(100 * both >= percent * (sizes - both)).select("a", "b")
 
 
+#: Shingles in a block of an open bucket, on average.
+BLOCK = 400_000
+
+
+def _across(percent: int):
+    """From two blocks of an open bucket to links (a, b) that join different components."""
+
+    def run(key: tuple, block: pa.Table) -> pa.Table:
+        node, component, own = (block.column(c).to_numpy() for c in ("node", "component", "block"))
+        found, bands = block.column("found").combine_chunks(), block.column("bands").combine_chunks()
+        size = found.value_lengths().to_numpy().astype(np.int64)
+        ids = np.unique(found.flatten().to_numpy(), return_inverse=True)[1]
+        start = np.cumsum(size) - size
+        keys = bands.flatten().to_numpy().reshape(len(node), -1)
+        turn = keys[0] == key[0].as_py()
+        earlier = keys[:, : int(np.flatnonzero(turn)[0])]
+        two = key[1].as_py() != key[2].as_py()
+        group = np.unique(component, return_inverse=True)[1]
+        mark = np.zeros(int(ids.max()) + 1, dtype=np.int32)
+        out: list[tuple[int, int]] = []
+        order = np.argsort(np.bincount(group)[group], kind="stable")  # small components first
+        for x in order:
+            apart = group != group[x]
+            if two:
+                apart &= own != own[x]
+            apart &= (100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x])) & ~(earlier == earlier[x]).any(1)
+            if not apart.any():
+                continue
+            mine = ids[start[x] : start[x] + size[x]]
+            mark[mine] = 1
+            both = np.add.reduceat(mark[ids], start).astype(np.int64)
+            mark[mine] = 0
+            for y in np.flatnonzero(apart & (100 * both >= percent * (size + size[x] - both))):
+                if group[y] != group[x]:
+                    out.append((int(node[x]), int(node[y])))
+                    group[group == group[y]] = group[x]
+        a, b = (np.array(c, dtype=np.int64) for c in zip(*out)) if out else (np.zeros(0, dtype=np.int64),) * 2
+        return pa.table({"a": a, "b": b})
+
+    return run
+
+
+def _open_links(still: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All that joins components within the open buckets ``still`` (bucket, node, component)."""
+    x = still.join(sets, "node").join(nodes.select("node", "bands"), "node")
+    total = still.join(sets.select("node", F.size("found").alias("n")), "node").groupBy("bucket").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    x = x.join(total, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x = x.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    return x.select("bucket", "low", "high", "node", "component", "block", "found", "bands").groupBy("bucket", "low", "high").applyInArrow(_across(percent), "a long, b long")
+
+
 def links(docs: DataFrame, sig: DataFrame, width: int, percent: int, stars: int) -> DataFrame:
     """Confirmed links (a, b) between nodes, enough to give every component."""
     nodes = durable(sig.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands")), "nodes")
@@ -182,8 +236,8 @@ def links(docs: DataFrame, sig: DataFrame, width: int, percent: int, stars: int)
     members = durable(rows.join(shared, "bucket"), "members")
     wanted = nodes.select("node", "doc_id").join(members.select("node").distinct(), "node")
     sets = durable(_sets(docs, durable(wanted, "wanted"), width), "sets")
-    star = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    found = durable(_confirmed(star, sets, percent), "links")
+    pairs = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    found = durable(_confirmed(pairs, sets, percent), "links")
     for k in range(stars + 1):
         of = components(found).select(F.col("id").alias("node"), "component")
         placed = members.select("bucket", "node").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -195,16 +249,14 @@ def links(docs: DataFrame, sig: DataFrame, width: int, percent: int, stars: int)
             order = F.xxhash64("node", F.lit(k))
             centre = still.groupBy("bucket").agg(F.min_by(F.struct("node", "component"), F.struct(order, "node")).alias("c"))
             pairs = still.join(centre, "bucket").where("component <> c.component").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+            more = _confirmed(pairs, sets, percent)
         else:
-            x, y = still.alias("x"), still.alias("y")
-            pairs = x.join(y, "bucket").where("x.node < y.node AND x.component <> y.component").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        more = durable(_confirmed(pairs, sets, percent), "links")
-        if not more.isEmpty():
-            found = durable(found.union(more), "links")
+            more = _open_links(still, nodes, sets, percent)
+        found = durable(found.union(durable(more, "links")), "links")
     return found
 
 
-def grouped(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 20, rows: int = 4, stars: int = 3) -> DataFrame:
+def grouped(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 20, rows: int = 4, stars: int = 1) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept), one for each row of ``docs``.
 
     ``component_id``: the least doc_id of the documents reachable by links, the document's own
