@@ -1,0 +1,337 @@
+"""Operators on single texts: extraction, counts, quality, personal data, tokens, packing."""
+
+import hashlib
+import html as entities
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+from pyspark.sql import functions as F
+
+from tracklake.llm import bpe, classifier, counts, html, packing, pii, quality
+from tracklake.llm.common import scratch
+
+BYTES, WORDS = P.path("byte_bpe_50k.tiktoken"), P.path("word_bpe_49k.json")
+SPACE = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+# --- 1 ---
+
+
+def test_pages(spark):
+    page = (
+        '<!doctype html><head><title>T</title><script>var a="</p>";</script></head><body class="has-sidebar"><header><a href=x>Home</a> Site</header><nav><ul><li><a>Menu</a></ul></nav>'
+        '<div class="page ad-free"><div id="cookie-notice"><p>We use cookies to give you the best of this site and of others, as all do.</p></div><!-- ad --><article><header><h1>Title &amp; more</h1></header>'
+        '<p><b>First a < b &copy;&nbsp;1 <br> line</b></p><aside>side</aside><form>Name <input></form><div class="comments"><p>Nice post of you and the others!</p></div><p>Second<br><br>third'
+        "<ul><li><a href=1>related one</a></li></ul></article></div><footer>foot</footer>"
+    )
+    assert html.main_text(page) == "Title & more\nFirst a < b © 1 line\nSecond\nthird"
+    rows = [(1, "u", page), (2, None, None), (None, "u", ""), (4, "u", "plain words"), (5, "u", "<p>cut &am"), (6, "u", '<p>cut <a href="x'), (7, "u", "<nav>open"), (8, "u", "<p>" + "long text of it " * 20000), (8, "u", "<")]
+    df = spark.createDataFrame([(*r, 1, "t") for r in rows], "page_id long, url string, html string, n_chars long, text string")
+    got = html.extracted(df).collect()
+    assert [(r.page_id, r.url, len(r.text) == r.n_chars) for r in got] == [(a, b, True) for a, b, _ in rows]
+    assert [r.text for r in got][1:7] == ["", "", "plain words", "cut &am", "cut", ""] and got[7].n_chars == 20000 * 16 - 1
+    assert html.extracted(df.limit(0)).count() == 0
+
+
+def test_undecided_blocks_follow_their_neighbours():
+    good = "the cat is on the mat and it was of a kind that you had not seen " * 4
+    page = f"<div>{good}</div><h2>Short heading</h2><div>{good}</div><ul><li><a href=1>one</a></li><li>two</li><li><a href=1>three</a></li></ul>"
+    assert html.main_text(page).split("\n") == [good.strip(), "Short heading", good.strip()]
+    assert html.second_pass([None, True, None, None, False, None]) == [True, True, True, False, False, False]
+    assert html.second_pass([None, None]) == [True, True] and html.second_pass([]) == []
+
+
+def test_pages_equal_a_plain_reading(spark):
+    """The driver's pages have one article of h1 and p; a regular expression reads it."""
+
+    def plain(h):
+        m = re.search(r"<article>(.*?)(</article>|\Z)", h, re.S)
+        parts = re.split(r"</?(?:p|h1)>", re.sub(r"<[^>]*\Z", "", m[1])) if m else []
+        return "\n".join(x for p in parts if (x := " ".join(entities.unescape(re.sub(r"<[^>]*>", "", p.replace("<br>", " "))).split())))
+
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        assert html.main_text(r.html) == plain(r.html)
+
+
+# --- 3 ---
+
+
+def brute_counts(text):
+    words = SPACE.findall(text or "")
+    windows = Counter(zip(words, words[1:], words[2:]))
+    covered = {k + d for k, w in enumerate(zip(words, words[1:], words[2:])) if windows[w] > 1 for d in range(3)}
+    lines, seen, dup = (text or "").split("\n"), set(), 0
+    for x in lines:
+        dup += bool(SPACE.search(x)) and x in seen
+        seen.add(x)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(covered)
+
+
+def test_quality_counts(prose):
+    r = random.Random(5)
+    texts = [None, "", " ", "a b", "a b c", "a a a a", "é x\x1cy a\tb\x0bc", prose(1), prose(1) + "\n" + prose(1)]
+    texts += ["".join(r.choice("ab \n#") for _ in range(r.randint(1, 60))) for _ in range(400)]
+    for t in texts:
+        assert quality.counts_of(t)[:5] == brute_counts(t), t
+    assert quality.repeated_words(np.arange(3_000_000) % 2_999_990) == 20  # ids too large for one key
+
+
+def test_quality_verdicts(spark, odd, none):
+    got = quality.judged(odd).collect()
+    assert len(got) == odd.count()
+    by = {(r.doc_id, r.n_words): r for r in got}
+    assert by[3, 0].base_failed and by[4, 0].base_failed and by[5, 0].base_failed and by[7, 30000].base_failed
+    assert by[1, 80].kept and by[None, 80].kept and by[11, 9000].kept and not by[6, 160].base_failed is None
+    kept = quality.keep_good(odd)
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} >= {1, 2, None, 11} and kept.count() == sum(r.kept for r in got)
+    assert quality.judged(none).count() == quality.keep_good(none).count() == 0
+
+
+def test_quality_fences_adapt(spark, prose):
+    rows = [(k, prose(k), "en", "plain") for k in range(60)] + [(100, prose(100).replace(" ", "*** "), "en", "plain")] + [(200 + k, prose(200 + k).replace(" ", "# "), "en", "marks") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.kept for r in quality.judged(docs).collect()}
+    assert not got[100] and all(got[k] for k in range(60)) and all(got[200 + k] for k in range(60))  # what is usual in a source passes there
+    c = quality.counts(docs)
+    whole, parts = quality.sketches(c), quality.merge(quality.sketches(c.where("doc_id % 2 = 0")), quality.sketches(c.where("doc_id % 2 = 1")))
+    assert sorted(map(str, whole.collect())) == sorted(map(str, parts.collect()))
+
+
+# --- 8 ---
+
+
+def test_classifier(spark, prose, odd, none):
+    docs = [(k, prose(k)) for k in range(300)] + [(1000 + k, prose(k).replace(" ", "%%% ")) for k in range(300)] + [(3000, None), (None, "x"), (3001, ""), (3002, "long " * 40000)]
+    df = spark.createDataFrame([(d, t, 0) for d, t in docs], "doc_id long, text string, score int")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(300)] + [(1000 + k, 0, 0) for k in range(300)] + [(None, 1, 0), (5, None, 0), (5, 1, 0), (999999, 0, 0)], "doc_id long, quality int, toxic int")
+    got = classifier.classified(df, labels).collect()
+    assert len(got) == len(docs) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    for r in got:
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+    test = [r for r in got if r.held_out and r.doc_id < 2000]
+    assert sum(r.predicted == (r.doc_id < 1000) for r in test) >= 0.97 * len(test) > 50
+    again = {r.doc_id: r.score for r in classifier.classified(df.repartition(3), labels.where(~classifier.held_out())).collect()}
+    assert all(again[r.doc_id] == r.score for r in got)  # held-out labels aren't used, order doesn't matter
+    few = classifier.classified(odd, labels.limit(0)).collect()
+    assert len(few) == odd.count() and {r.score for r in few} == {0.5}
+    assert classifier.classified(none, labels).count() == 0
+
+
+def test_classifier_on_the_drivers_labels(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    got = classifier.classified(docs, labels).where("held_out").join(labels, "doc_id").select("predicted", "quality").collect()
+    assert sum(r.predicted == r.quality for r in got) >= 0.97 * len(got)
+
+
+# --- 9 ---
+
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def brute_spans(text):
+    out = []
+    for kind, p in PATTERNS.items():
+        for m in re.finditer(p, text):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 12 <= len(d) <= 19 and pii.luhn(d), "phone": 9 <= len(d) <= 15}[kind]
+            out += [(m.start(), m.end(), kind)] * bool(ok)
+    return sorted(out, key=lambda s: (s[0], list(PATTERNS).index(s[2])))
+
+
+def test_fixed_patterns(spark):
+    r = random.Random(3)
+    texts = ["".join(r.choice("a@.1 -+(%_é29") for _ in range(80)) for _ in range(4000)]
+    texts += ["+1 23-4567.890 4111111111111111@x.y 1.2.3.4.5.6.7.8.9 a@b.c_d@e.f 256.1.1.1 001.002.003.004", "", "@", "a" * 50000 + "@", "1" * 50000, "1." * 20000]
+    texts += [x.text for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    for t in texts:
+        assert pii.base_spans(t) == brute_spans(t)
+
+
+def test_field_adds_spans_and_leaves_clean_text_alone():
+    field, r = pii.trained(), random.Random(99)
+    hit = miss = wrong = 0
+    for _ in range(300):
+        text, gold = pii._made(r)
+        base, every = pii.all_spans(text, field)
+        want = {s for s in gold if not any(a < s[1] and s[0] < b for a, b, _ in base)}
+        more = set(every) - set(base)
+        assert set(base) <= set(every) and base == brute_spans(text)
+        hit, miss, wrong = hit + len(want & more), miss + len(want - more), wrong + len(more - want)
+    assert hit >= 0.95 * (hit + miss) and wrong <= 0.03 * hit
+    assert pii.all_spans("At 12:30 on 2024-01-02 I paid $1,200.50 for version 3. 4.0. of 1998.", field) == ([], [])
+    text = 'call (555) 123-4567 or john (at) example (dot) com, token = "abcdef0123456789abcdef0123" a@b.co'
+    assert pii.redact(text, pii.all_spans(text, field)[1]) == 'call [PHONE] or [EMAIL], token = "[SECRET]" [EMAIL]'
+
+
+def test_islands_give_the_best_labelling_of_the_whole():
+    """The program over islands against all labellings of short texts."""
+    field, r = pii.trained(), random.Random(4)
+    for _ in range(40):
+        text, _ = pii._made(r)
+        for run in pii._islands(text, pii.base_spans(text)):
+            segments = [(i, j, (a, b, k), float(field.scores(fs)[n])) for i, j, a, b, fs in pii._segments(text, run) for n, k in enumerate(pii.KINDS)]
+            starts = {}
+            for s in segments:
+                starts.setdefault(s[0], []).append(s)
+            best = [{0: 0.0} for _ in range(len(run) + 1)]
+            order = {}
+            for at in range(len(run) - 1, -1, -1):
+                for prior in range(len(pii.KINDS) + 1):
+                    ways = [(order.get((at + 1, 0), (0.0, ()))[0] if at + 1 < len(run) else 0.0, order.get((at + 1, 0), (0.0, ()))[1] if at + 1 < len(run) else ())]
+                    for _, j, span, score in starts.get(at, ()):
+                        k = pii.KINDS.index(span[2]) + 1
+                        rest = order[j, k] if j < len(run) else (0.0, ())
+                        ways.append((score + field.move[prior, k] + rest[0], (span, *rest[1])))
+                    order[at, prior] = max(ways, key=lambda w: w[0])
+            assert field.label(text, run) == list(order[0, 0][1]) and best
+
+
+def test_personal_data_rows(spark, odd, none):
+    docs = odd.withColumn("text", F.when(F.col("doc_id") == 9, "a@b.co 4111 1111 1111 1111 +1 (555) 123-4567 x 1.2.3.4").otherwise(F.col("text")))
+    got = pii.found(docs).collect()
+    assert len(got) == docs.count()
+    x = next(r for r in got if r.doc_id == 9)
+    spans = "email:0:6,card:7:26,phone:27:44,ip:47:54"
+    assert (x.n_email, x.n_ip, x.n_card, x.n_phone, x.spans, x.base_sha256) == (1, 1, 1, 1, spans, hashlib.sha256(spans.encode()).hexdigest())
+    assert all(r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in got if r.doc_id in (3, 4, 5, None))
+    clean = pii.redacted(docs)
+    assert clean.columns == docs.columns and {r.text for r in clean.where("doc_id = 9").collect()} == {"[EMAIL] [CARD] [PHONE] x [IP]"}
+    assert clean.where("text IS NULL").count() == 2
+    assert pii.found(none).count() == pii.redacted(none).count() == 0
+
+
+# --- 10 ---
+
+
+@pytest.fixture(scope="module")
+def tiktoken_like():
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(BYTES), special_tokens={})
+
+
+def test_bpe_equals_the_library(tiktoken_like, prose):
+    r = random.Random(2)
+    pool = [chr(c) for c in [*range(0, 700), *range(0x300, 0x340), *range(0x2000, 0x2070), 0x3000, 0x85, 0xA0, 0x1680, 0x4E2D, 0x1F600, 0x10FFFE, 0xFEFF, 0x0E31]]
+    texts = ["", "a" * 5000, " " * 777 + "x", "ab" * 3000, "=-" * 900 + "=" * 1001, "".join(r.choice("etaoinshrdlu") for _ in range(3000)), prose(1), None, "\x1c\x1d \x1e a\x1fb\n\n \t x", "<|endoftext|>"]
+    texts += ["".join(r.choice(pool) for _ in range(200)) for _ in range(60)]
+    e = bpe.Encoder(BYTES, P.PATTERN)
+    for t, (ids, raw) in zip(texts, e(texts)):
+        assert ids == " ".join(map(str, tiktoken_like.encode_ordinary(t or ""))) and raw == (t or "").encode()
+    e.ids.clear()
+    bpe_limit, bpe.REMEMBERED = bpe.REMEMBERED, 3  # nothing fits: words are encoded anew
+    try:
+        assert [x for x, _ in e(texts)] == [" ".join(map(str, tiktoken_like.encode_ordinary(t or ""))) for t in texts]
+    finally:
+        bpe.REMEMBERED = bpe_limit
+
+
+def test_bpe_rows(odd, none, tiktoken_like):
+    got = bpe.digests(odd, BYTES, P.PATTERN).collect()
+    want = []
+    for r in odd.collect():
+        ids = tiktoken_like.encode_ordinary(r.text or "")
+        want.append((r.doc_id, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    back = bpe.decode(bpe.encode(odd, BYTES, P.PATTERN), BYTES, P.PATTERN).collect()
+    assert sorted((str(r.doc_id), bytes(r.decoded)) for r in back) == sorted((str(r.doc_id), (r.text or "").encode()) for r in odd.collect())
+    assert bpe.digests(none, BYTES, P.PATTERN).count() == 0
+
+
+# --- 6 ---
+
+
+def test_rollup(spark, odd, none, tiktoken_like):
+    got = counts.maintained(odd, scratch(spark, "t"), BYTES, P.PATTERN, "v1").collect()
+    want, seen = Counter(), {}
+    rows = odd.collect()
+    for r in rows:
+        seen[r.text] = min([x for x in (seen.get(r.text), r.doc_id) if x is not None], default=None)
+    for r in rows:
+        if r.doc_id == seen[r.text]:
+            key = r.source, r.lang, "v1+end"
+            want[key, "docs"] += 1
+            want[key, "tokens"] += len(tiktoken_like.encode_ordinary(r.text or "")) + 1
+    assert {((r.source, r.lang, r.tokenizer), "docs"): r.n_docs for r in got} | {((r.source, r.lang, r.tokenizer), "tokens"): r.n_tokens for r in got} == dict(want)
+    assert counts.maintained(none, scratch(spark, "t"), BYTES, P.PATTERN, "v1").count() == 0
+
+
+def test_rollup_commits(spark):
+    roll = counts.Rollup(spark, scratch(spark, "t"))
+    change = "op string, source string, lang string, tokenizer string, n_tokens long, old_tokens long, old_source string"
+    rows = lambda *x: spark.createDataFrame(list(x), change)
+    assert roll.totals().count() == 0 and roll.batches() == []
+    first = rows(("insert", "a", "en", "v", 10, None, None), ("insert", "a", "en", "v", 5, None, None), ("insert", None, None, None, None, None, None))
+    assert roll.commit("b1", first) and not roll.commit("b1", first)
+    assert roll.commit("b2", rows(("revise", "b", "en", "v", 7, 5, "a"), ("delete", None, None, None, None, None, None)))
+    assert roll.commit("b3", rows()) and roll.batches() == ["b1", "b2", "b3"]
+    assert sorted(map(tuple, roll.totals().collect())) == [("a", "en", "v", 1, 10), ("b", "en", "v", 1, 7)]
+    assert counts.Rollup(spark, roll.path).totals().count() == 2  # another process sees the same
+    with pytest.raises(Exception):
+        roll.commit("b4", rows(("move", "a", "en", "v", 1, 1, "a")))
+    assert roll.batches() == ["b1", "b2", "b3"]
+    with pytest.raises(ValueError):
+        roll.commit("a/b", first)
+
+
+# --- 7 ---
+
+
+def test_word_ids_equal_the_library(prose):
+    w = packing.WordIds(WORDS)
+    odd = ["", None, "Foo, bar.. x.,y <|ENDOFTEXT|> a<|endoftext|>b ÉCOLE, é, é. Straße ΣΑΣ  x y\x1cz 123.45 ... a.b,c don't 'tis're", "x" * 3000 + " " + "ab," * 500, "é ́e ö, 가"]
+    texts = [*odd, *[prose(k).title().replace(" ", ", ", 5) for k in range(50)]]
+    want = [np.array(e.ids, dtype="<u4").tobytes() for e in w.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert list(w(texts)) == want
+    limit, packing.REMEMBERED = packing.REMEMBERED, 1
+    try:
+        assert list(packing.WordIds(WORDS)(texts)) == want
+    finally:
+        packing.REMEMBERED = limit
+
+
+def test_patterns_place_every_length_once():
+    r = random.Random(1)
+    for size in (8, 64, 2048):
+        histogram = {r.randint(1, size): r.randint(1, 500) for _ in range(40)}
+        patterns = packing.packing_patterns(histogram, size)
+        placed = Counter()
+        for count, lengths in patterns:
+            assert sum(lengths) <= size and count > 0
+            for x in lengths:
+                placed[x] += count
+        assert placed == Counter(histogram)
+    assert packing.packing_patterns({}, 8) == [] and packing.packing_patterns({5: 1, 3: 2, 2: 1}, 8) == [(1, (3, 2)), (1, (5, 3))]
+
+
+def test_packing_rows(spark, odd, none):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORDS)
+    docs = odd.unionByName(odd.withColumn("doc_id", F.col("doc_id") + 100).repartition(3))
+    got = packing.pack(docs, WORDS).collect()
+    pieces = Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got)
+    want = Counter()
+    for d in docs.collect():
+        ids = np.array([*library.encode(d.text or "", add_special_tokens=False).ids, 1], dtype="<u4")
+        for k in range(0, len(ids), 2048):
+            piece = ids[k : k + 2048]
+            want[d.doc_id, k, len(piece), zlib.crc32(piece.tobytes()), len(ids)] += 1
+    assert pieces == want
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert packing.pack(none, WORDS).count() == 0

@@ -216,11 +216,13 @@ def first_pass(page: _Page) -> tuple[list[Block], list[bool | None]]:
     return blocks, labels
 
 
-def second_pass(labels: list[bool | None]) -> list[bool]:
+def second_pass(labels: list[bool | None], inside: list[bool] | None = None) -> list[bool]:
     """Undecided blocks take the label of the nearest decided one; of two as near, the later.
 
-    Where nothing is decided everything is kept.
+    For blocks ``inside`` an article its ends count as good neighbours.  Where nothing is decided
+    everything is kept.
     """
+    inside = inside or [False] * len(labels)
     n, out = len(labels), []
     before: list[int | None] = []
     last = None
@@ -234,7 +236,7 @@ def second_pass(labels: list[bool | None]) -> list[bool]:
         after[k] = last
     for k in range(n):
         a, b = before[k], after[k]
-        if a is None and b is None:
+        if a is None and b is None or inside[k] and labels[k] is None and (a is None or b is None):
             out.append(True)
         elif a is None or b is not None and b - k <= k - a:
             out.append(bool(labels[b]))
@@ -247,7 +249,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     blocks, labels = first_pass(cut(html))
-    return "\n".join(b.text for b, good in zip(blocks, second_pass(labels)) if good)
+    return "\n".join(b.text for b, good in zip(blocks, second_pass(labels, [b.inside for b in blocks])) if good)
 
 
 EXTRACTED = "page_id long, url string, text string, n_chars long"
