@@ -17,7 +17,7 @@ What is shuffled: for every line its leaf and text hash (16 bytes), lines of fre
 with their tokens, and the texts once to be rewritten.  A bounded table of leaf slots, broadcast,
 thins the lines before they are joined; hot leaves are summed before they are shuffled.
 
-Nulls: a null text stays null, a null doc_id comes after all others.  Lines without a token stay.
+Nulls: a null text stays null, a null doc_id comes after all others.  Blank lines stay.
 Repeated rows are one document here and share their lines' fate.  An empty table gives no rows.
 Other columns are passed on as they are.
 """
@@ -30,22 +30,25 @@ from pyspark.sql import functions as F
 from .common import durable, thinned
 
 VARIABLE = "<*>"
-_WHITE = r"[\x20\x09-\x0D]+"
 
 
-def _tokens(line: Column) -> Column:
-    return F.filter(F.split(line, _WHITE), lambda t: t != "")
-
+def lines_of(docs: DataFrame, lead: int, min_tokens: int) -> DataFrame:
+    """id, text (hash), place, line and leaf of every line with ``min_tokens`` tokens or more.
 
-def _masked(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(VARIABLE)).otherwise(t))
+    Tokens are separated by a space each.  The leaf comes from the number of spaces and the line's
+    head alone, so most lines are never split.
+    """
+    x = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    x = x.select("id", "text", "place", F.btrim("line").alias("line"))
+    spaces = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
+    x = x.select("*", spaces.alias("spaces")).where((F.col("spaces") >= min_tokens - 1) & (F.col("line") != ""))
+    head = F.regexp_replace(F.substring_index("line", " ", lead), "[^ ]*[0-9][^ ]*", VARIABLE)
+    return x.select("id", "text", "place", "line", F.xxhash64("spaces", head).alias("leaf"))
 
 
-def lines_of(docs: DataFrame, lead: int, min_tokens: int) -> DataFrame:
-    """id, text (hash), place, leaf and tokens of every line with ``min_tokens`` tokens or more."""
-    x = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    x = x.select("id", "text", "place", _tokens(F.col("line")).alias("tokens")).where(F.size("tokens") >= min_tokens)
-    return x.withColumn("leaf", F.xxhash64(F.size("tokens"), _masked(F.slice("tokens", 1, lead))))
+def _tokens(line: Column) -> Column:
+    """A line's tokens, those with a digit as a variable field."""
+    return F.transform(F.split(line, " "), lambda t: F.when(t.rlike("[0-9]"), F.lit(VARIABLE)).otherwise(t))
 
 
 def frequent_leaves(lines: DataFrame, min_docs: int) -> DataFrame:
@@ -65,34 +68,37 @@ def templates(lines: DataFrame) -> DataFrame:
 def recurring(docs: DataFrame, lead: int, min_docs: int, similar: float, min_tokens: int) -> DataFrame:
     """(id, text, place, first): lines of recurring templates; ``first`` marks the one that stays."""
     lines = lines_of(docs, lead, min_tokens)
-    leaves = durable(frequent_leaves(lines, min_docs), "leaves")
-    some = thinned(lines, "leaf", leaves, "leaf").withColumn("tokens", _masked(F.col("tokens")))
+    leaves = durable(frequent_leaves(lines.select("leaf", "text"), min_docs), "leaves")
+    some = thinned(lines, "leaf", leaves, "leaf").select("id", "text", "place", "leaf", _tokens(F.col("line")).alias("tokens"))
     some = durable(some.join(leaves, "leaf"), "leaf-lines")
-    both = some.join(templates(some), "leaf")
+    # sums are written before they are joined, so that the join can split a hot leaf
+    both = some.join(durable(templates(some), "templates"), "leaf")
     same = F.size(F.filter(F.zip_with("tokens", "template", lambda a, b: a == b), lambda equal: equal))
     found = durable(both.where(same >= similar * F.size("tokens")).select("leaf", "id", "place", "text"), "template-lines")
     at = F.struct(F.col("id").isNull().alias("none"), "id", "text", "place")
     often = found.groupBy("leaf", "text").agg(F.min(at).alias("at")).groupBy("leaf").agg(F.count("*").alias("n"), F.min("at").alias("least"))
-    often = often.where(F.col("n") >= min_docs).select("leaf", "least")
+    often = durable(often.where(F.col("n") >= min_docs).select("leaf", "least"), "recurring")
     return found.join(often, "leaf").select("id", "text", "place", (at == F.col("least")).alias("first"))
 
 
 def marked(docs: DataFrame, lead: int = 3, min_docs: int = 5, similar: float = 0.6, min_tokens: int = 4, whole: float = 0.8) -> DataFrame:
     """``docs`` with a struct ``__lines``: the text without recurring lines, and three counts.
 
-    text, n_lines (lines with a token), n_recurring and n_dropped.
+    text, n_lines (those that aren't blank), n_recurring and n_dropped.
     """
     bad = recurring(docs, lead, min_docs, similar, min_tokens).groupBy("id", "text").agg(
         F.count_distinct("place").alias("__recurring"), F.collect_set(F.when(~F.col("first"), F.col("place"))).alias("__drop")
     )
     bad = bad.select(F.col("id").alias("__id"), F.col("text").alias("__text"), "__recurring", "__drop")
     x = docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__text")), "left")
-    n = F.size(F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
-    number = F.coalesce("__recurring", F.lit(0))
-    drop = F.when((number > 0) & (number < whole * n), F.col("__drop")).otherwise(F.array().cast("array<int>"))
-    kept = F.when(F.size(drop) > 0, F.array_join(F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains(drop, k)), "\n")).otherwise(F.col("text"))
-    counts = (n.cast("long").alias("n_lines"), number.cast("long").alias("n_recurring"), F.size(drop).cast("long").alias("n_dropped"))
-    return x.select(*[docs[c] for c in docs.columns], F.struct(kept.alias("text"), *counts).alias("__lines"))
+    # one column after the other: each is computed once
+    x = x.withColumn("__split", F.split("text", "\n"))
+    x = x.withColumn("__n", F.size(F.filter("__split", lambda line: line.rlike(r"[^\x20\x09-\x0D]"))))
+    x = x.withColumn("__drop", F.when(F.col("__recurring") < whole * F.col("__n"), F.col("__drop")))
+    kept = F.when(F.size("__drop") > 0, F.array_join(F.filter("__split", lambda line, k: ~F.array_contains("__drop", k)), "\n")).otherwise(F.col("text"))
+    count = lambda c: F.coalesce(c.cast("long"), F.lit(0).cast("long"))
+    counts = (count(F.col("__n")).alias("n_lines"), count(F.col("__recurring")).alias("n_recurring"), count(F.size("__drop")).alias("n_dropped"))
+    return x.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(kept.alias("text"), *counts).alias("__lines"))
 
 
 def report(docs: DataFrame, **how) -> DataFrame:
@@ -104,4 +110,4 @@ def report(docs: DataFrame, **how) -> DataFrame:
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with recurring lines taken out of ``text``."""
-    return marked(docs, **how).select(*[F.col("__lines.text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return marked(docs, **how).select(*[F.col("__lines.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
