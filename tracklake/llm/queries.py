@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, classifier, counts, embeddings, html, lines, minhash, packing, pii, quality
 from .common import scratch, table
+from .oracles import oracle_sql  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,7 +69,3 @@ def queries() -> dict[str, Query]:
         op7_packing, op8_quality_classifier, op9_pii, op10_byte_bpe, pipeline,
     )
     return {f.__name__: f for f in ops}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
