@@ -87,6 +87,9 @@ def test_random_tracks_equal_the_model(spark, seed, partitions):
     assert got(detect.going_dark(pairs, CFG), "mmsi", "gap_hours", "dist_nm", "ts_before", "ts_after") == want(model.going_dark)
     assert got(detect.draught_change(pairs, CFG), "mmsi", "gap_hours", "draught_before", "draught_after", "ts_before", "ts_after") == want(model.draught_change)
     assert got(detect.identity_cloning(pairs, CFG), "event_type", "mmsi", "dist_nm", "ts1", "ts2") == want(model.cloning)
+    events = detect.going_dark(pairs, CFG), detect.draught_change(pairs, CFG), detect.identity_cloning(pairs, CFG)
+    stats = lambda x: sorted((r.mmsi, r.max_gap_hours, round(r.total_impossible_nm, 6), r.count_C) for r in x.collect())
+    assert stats(risk.track_stats(pairs, CFG)) == stats(risk.vessel_stats(*events))
     cands = [c for t in ts.values() for c in model.candidates(t)]
     found = loiter.candidates(df, CFG)
     key = lambda x: [-1 if v is None else v for v in x]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -11,13 +11,40 @@ from ..functions.scalars import rounded
 from . import land, tracks
 
 
+def is_dark(cfg: Config) -> Column:
+    moved = (F.col("dist_nm") >= cfg.gap_dist_nm) | (_knots() >= cfg.moving_kn)
+    return (F.col("dt_h") >= cfg.gap_hours) & moved
+
+
+def is_draught_change(cfg: Config) -> Column:
+    return F.coalesce((F.col("dt_h") >= cfg.draught_hours) & (_draught_share(cfg) >= cfg.draught_change), F.lit(False))
+
+
+def is_simultaneous(cfg: Config) -> Column:
+    moved = (F.col("lat0") != F.col("lat")) | (F.col("lon0") != F.col("lon"))
+    return (F.col("ts") == F.col("ts0")) & moved & (F.col("dist_nm") >= cfg.simultaneous_nm)
+
+
+def is_jump(cfg: Config) -> Column:
+    """Whether no vessel is that fast; null for pairs within one second."""
+    return F.when(F.col("ts") > F.col("ts0"), _knots() >= cfg.clone_kn)
+
+
+def _knots() -> Column:
+    return F.when(F.col("dt_h") > 0, F.try_divide("dist_nm", "dt_h")).otherwise(F.lit(0.0))
+
+
+def _draught_share(cfg: Config) -> Column:
+    """The change of draught as a share; null unless both draughts are known."""
+    known = (F.col("draught0") >= cfg.draught_min_m) & (F.col("draught") >= cfg.draught_min_m)
+    return F.abs(F.col("draught") - F.col("draught0")) / F.when(known, F.col("draught0"))
+
+
 def going_dark(pairs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """A: silence of ``gap_hours`` or more across which the vessel moved."""
     r = lambda c, n: rounded(c, n, cfg.rounding)
-    knots = F.when(F.col("dt_h") > 0, F.try_divide("dist_nm", "dt_h")).otherwise(F.lit(0.0))
-    x = pairs.where((F.col("dt_h") >= cfg.gap_hours) & ((F.col("dist_nm") >= cfg.gap_dist_nm) | (knots >= cfg.moving_kn)))
-    return x.select(
-        "mmsi", r(F.col("dt_h"), 2).alias("gap_hours"), r(F.col("dist_nm"), 2).alias("dist_nm"), r(knots, 2).alias("implied_kn"),
+    return pairs.where(is_dark(cfg)).select(
+        "mmsi", r(F.col("dt_h"), 2).alias("gap_hours"), r(F.col("dist_nm"), 2).alias("dist_nm"), r(_knots(), 2).alias("implied_kn"),
         F.col("lat0").alias("lat_before"), F.col("lon0").alias("lon_before"), F.col("ts0").alias("ts_before"),
         F.col("lat").alias("lat_after"), F.col("lon").alias("lon_after"), F.col("ts").alias("ts_after"),
     )
@@ -26,12 +53,9 @@ def going_dark(pairs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 def draught_change(pairs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """C: another draught after a gap of ``draught_hours`` or more; both draughts must be known."""
     r = lambda c, n: rounded(c, n, cfg.rounding)
-    known = (F.col("draught0") >= cfg.draught_min_m) & (F.col("draught") >= cfg.draught_min_m)
-    share = F.abs(F.col("draught") - F.col("draught0")) / F.when(known, F.col("draught0"))
-    x = pairs.where(known & (F.col("dt_h") >= cfg.draught_hours)).where(share >= cfg.draught_change)
-    return x.select(
+    return pairs.where(is_draught_change(cfg)).select(
         "mmsi", r(F.col("dt_h"), 2).alias("gap_hours"), F.col("draught0").alias("draught_before"), F.col("draught").alias("draught_after"),
-        r(share * 100.0, 2).alias("change_pct"), F.col("ts0").alias("ts_before"), F.col("ts").alias("ts_after"), F.col("lat0").alias("lat"), F.col("lon0").alias("lon"),
+        r(_draught_share(cfg) * 100.0, 2).alias("change_pct"), F.col("ts0").alias("ts_before"), F.col("ts").alias("ts_after"), F.col("lat0").alias("lat"), F.col("lon0").alias("lon"),
     )
 
 
@@ -47,9 +71,7 @@ def _clone_rows(x: DataFrame, kind: str, speed, error, cfg: Config) -> DataFrame
 
 def simultaneous(pairs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """D, first kind: one identity at two places at the same second."""
-    moved = (F.col("lat0") != F.col("lat")) | (F.col("lon0") != F.col("lon"))
-    x = pairs.where((F.col("ts") == F.col("ts0")) & moved & (F.col("dist_nm") >= cfg.simultaneous_nm))
-    return _clone_rows(x, "simultaneous_transmission", F.lit(float("inf")), F.lit(False), cfg)
+    return _clone_rows(pairs.where(is_simultaneous(cfg)), "simultaneous_transmission", F.lit(float("inf")), F.lit(False), cfg)
 
 
 def speed_rows(pairs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -57,9 +79,8 @@ def speed_rows(pairs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
     Pairs within one second neither belong to a run nor break it.
     """
-    x = pairs.where("ts > ts0").withColumn("kn", F.col("dist_nm") / F.col("dt_h"))
-    slow = ~(F.col("kn") >= cfg.clone_kn)
-    return x.withColumn("run", tracks.run_id(slow, tracks.track())).where(~slow)
+    x = pairs.where("ts > ts0").withColumn("kn", F.col("dist_nm") / F.col("dt_h")).withColumn("jump", is_jump(cfg))
+    return x.withColumn("run", tracks.run_id(~F.col("jump"), tracks.track())).where("jump").drop("jump")
 
 
 def speed_violations(pairs: DataFrame, cfg: Config = DEFAULT, land_cells: DataFrame | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..config import DEFAULT, Config
 from ..functions.scalars import rounded
+from . import detect, tracks
 
 
 def vessel_stats(a: DataFrame, c: DataFrame, d: DataFrame) -> DataFrame:
@@ -19,6 +20,28 @@ def vessel_stats(a: DataFrame, c: DataFrame, d: DataFrame) -> DataFrame:
     return x.agg(F.max("gap").alias("max_gap_hours"), F.sum("nm").alias("total_impossible_nm"), F.sum("c").cast("long").alias("count_C"))
 
 
+def track_stats(pairs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """``vessel_stats`` in one pass over consecutive pairs, where no position errors are known.
+
+    A run's event has the run's greatest rounded distance, so the runs needn't be folded.  Dealt by
+    vessel, everything here runs after one shuffle and one sort.
+    """
+    r = lambda c: rounded(F.col(c), 2, cfg.rounding)
+    x = pairs.withColumn("jump", detect.is_jump(cfg))
+    x = x.withColumn("run", tracks.run_id(F.coalesce(~F.col("jump"), F.lit(False)), tracks.track()))
+    runs = x.groupBy("mmsi", "run").agg(
+        F.max(F.when(detect.is_dark(cfg), r("dt_h"))).alias("gap"),
+        F.sum(F.when(detect.is_draught_change(cfg), 1)).alias("c"),
+        F.sum(F.when(detect.is_simultaneous(cfg), r("dist_nm"))).alias("both"),
+        F.max(F.when(F.col("jump"), r("dist_nm"))).alias("jump"),
+    )
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    out = runs.where("gap IS NOT NULL OR c IS NOT NULL OR both IS NOT NULL OR jump IS NOT NULL").groupBy("mmsi")
+    return out.agg(
+        F.max(zero("gap")).alias("max_gap_hours"), F.sum(zero("both") + zero("jump")).alias("total_impossible_nm"), F.sum(F.coalesce("c", F.lit(0))).cast("long").alias("count_C")
+    )
+
+
 def with_pairs(stats: DataFrame, b: DataFrame) -> DataFrame:
     """``stats`` with the vessels of loitering pairs, at zero where they have no other event."""
     member = b.select(F.explode(F.array("mmsi_1", "mmsi_2")).alias("mmsi")).distinct()

@@ -42,7 +42,8 @@ def find(pings: DataFrame, cfg: Config = DEFAULT, land_cells: DataFrame | None =
     a, c, d = detect.going_dark(pairs, cfg), detect.draught_change(pairs, cfg), detect.identity_cloning(pairs, cfg, land_cells)
     cands = loiter.candidates(dealt, cfg)
     b = loiter.loitering_pairs(cands, cfg)
-    scores = risk.ranked(risk.scored(risk.with_pairs(risk.vessel_stats(a, c, d), b), cfg))
+    stats = risk.track_stats(pairs, cfg) if land_cells is None else risk.vessel_stats(a, c, d)
+    scores = risk.ranked(risk.scored(risk.with_pairs(stats, b), cfg))
     return Findings(a, b, c, d, cands, scores)
 
 
