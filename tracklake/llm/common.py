@@ -120,10 +120,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(e.select("b", F.col("b").alias("c")).distinct())
         # large star: each node's larger neighbours are tied to its least neighbour or itself
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # minima are written before they are joined, so that the join can split a hot node
+        least = durable(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: each node and its smaller neighbours are tied to the least of them
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = durable(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         tied = large.join(small, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x"))
         e = durable(tied.select(F.col("x.b").alias("a"), F.col("x.m").alias("b")).where("a <> b").distinct(), "edges")
     raise RuntimeError("components did not settle")

@@ -179,8 +179,7 @@ def grouped(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.995) -> D
     cuts, tables = plan(points.count(), cosine, recall)
     kind = dict(points.dtypes)["x"]
     cells = points.select("node", "weight", "x").mapInArrow(_dealt(dim, cuts, tables), f"turn int, cell long, node long, weight long, x {kind}")
-    sizes = points.select("node", "weight", "x").mapInArrow(_dealt(dim, cuts, tables), f"turn int, cell long, node long, weight long, x {kind}")
-    sizes = sizes.groupBy("turn", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    sizes = cells.groupBy("turn", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
     cells = cells.join(durable(sizes, "cells"), ["turn", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     cells = cells.withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
     # each block meets itself and, as one of two, every other block of its cell
@@ -194,7 +193,7 @@ def grouped(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.995) -> D
     named = points.select("node", "weight", "least").join(links, "node", "left").join(of, "node", "left")
     named = durable(named.select("node", "least", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component")), "named")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("node", "n_links", "component_id")
+    named = named.join(durable(least, "least"), "component").select("node", "n_links", "component_id")
     out = rows.select("vec_id", "node").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))

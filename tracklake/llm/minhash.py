@@ -222,7 +222,7 @@ def _open_links(still: DataFrame, nodes: DataFrame, sets: DataFrame, percent: in
     """All that joins components within the open buckets ``still`` (bucket, node, component)."""
     x = still.join(sets, "node").join(nodes.select("node", "bands"), "node")
     total = still.join(sets.select("node", F.size("found").alias("n")), "node").groupBy("bucket").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    x = x.join(total, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    x = x.join(durable(total, "totals"), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     x = x.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     return x.select("bucket", "low", "high", "node", "component", "block", "found", "bands").groupBy("bucket", "low", "high").applyInArrow(_across(percent), "a long, b long")
@@ -233,7 +233,8 @@ def links(docs: DataFrame, sig: DataFrame, width: int, percent: int, stars: int)
     nodes = durable(sig.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands")), "nodes")
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = durable(rows.join(shared, "bucket"), "members")
+    # sums are written before they are joined, so that the join can split a hot bucket
+    members = durable(rows.join(durable(shared, "buckets"), "bucket"), "members")
     wanted = nodes.select("node", "doc_id").join(members.select("node").distinct(), "node")
     sets = durable(_sets(docs, durable(wanted, "wanted"), width), "sets")
     pairs = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
@@ -242,13 +243,13 @@ def links(docs: DataFrame, sig: DataFrame, width: int, percent: int, stars: int)
         of = components(found).select(F.col("id").alias("node"), "component")
         placed = members.select("bucket", "node").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
         several = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-        still = durable(placed.join(several, "bucket"), "open")
+        still = durable(placed.join(durable(several, "buckets"), "bucket"), "open")
         if still.isEmpty():
             break
         if k < stars:
             order = F.xxhash64("node", F.lit(k))
             centre = still.groupBy("bucket").agg(F.min_by(F.struct("node", "component"), F.struct(order, "node")).alias("c"))
-            pairs = still.join(centre, "bucket").where("component <> c.component").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+            pairs = still.join(durable(centre, "centres"), "bucket").where("component <> c.component").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
             more = _confirmed(pairs, sets, percent)
         else:
             more = _open_links(still, nodes, sets, percent)
@@ -267,7 +268,7 @@ def grouped(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 20,
     ids = sig.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     placed = durable(ids.join(of, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = placed.join(least, "component").select("node", "component_id")
+    named = placed.join(durable(least, "least"), "component").select("node", "component_id")
     out = sig.join(named, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
