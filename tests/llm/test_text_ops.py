@@ -30,6 +30,8 @@ def test_pages(spark):
         "<ul><li><a href=1>related one</a></li></ul></article></div><footer>foot</footer>"
     )
     assert html.main_text(page) == "Title & more\nFirst a < b © 1 line\nSecond\nthird"
+    assert html.main_text('<main><p>one <span class="share-button">tweet</span> two <span>three</span></p><label>name</label><p>four</main>') == "one two three\nfour"
+    assert html.main_text('<main><p class="advert">buy<p>one<div><p class="notice">two</div>three</main>') == "one\nthree"
     rows = [(1, "u", page), (2, None, None), (None, "u", ""), (4, "u", "plain words"), (5, "u", "<p>cut &am"), (6, "u", '<p>cut <a href="x'), (7, "u", "<nav>open"), (8, "u", "<p>" + "long text of it " * 20000), (8, "u", "<")]
     df = spark.createDataFrame([(*r, 1, "t") for r in rows], "page_id long, url string, html string, n_chars long, text string")
     got = html.extracted(df).collect()
@@ -226,7 +228,7 @@ def test_bpe_equals_the_library(tiktoken_like, prose):
     for t, (ids, raw) in zip(texts, e(texts)):
         assert ids == " ".join(map(str, tiktoken_like.encode_ordinary(t or ""))) and raw == (t or "").encode()
     e.ids.clear()
-    bpe_limit, bpe.REMEMBERED = bpe.REMEMBERED, 3  # nothing fits: words are encoded anew
+    bpe_limit, bpe.REMEMBERED = bpe.REMEMBERED, 3  # only a batch's words are remembered
     try:
         assert [x for x, _ in e(texts)] == [" ".join(map(str, tiktoken_like.encode_ordinary(t or ""))) for t in texts]
     finally:

@@ -90,8 +90,8 @@ def _hinted(attributes: str, inside: bool) -> bool:
 def cut(html: str) -> _Page:
     """The page's blocks, with what is known of the elements around each."""
     page, parts, links = _Page(), [], 0
-    stack: list[tuple[str, int]] = []  # open elements that matter, with their mark or -1
-    inside = anchor = serial = breaks = 0
+    stack: list[tuple[str, int]] = []  # open elements that matter: with their mark, -1, or -2 if inline and left out
+    inside = anchor = serial = breaks = skip = 0
 
     def flush() -> None:
         nonlocal links, breaks
@@ -104,7 +104,7 @@ def cut(html: str) -> _Page:
 
     def add(run: str) -> None:
         nonlocal links, breaks
-        if run:
+        if run and not skip:
             made = unescape(run)
             parts.append(made)
             if anchor:
@@ -113,10 +113,11 @@ def cut(html: str) -> _Page:
                 breaks = 0
 
     def close(name: str) -> None:
-        nonlocal inside
+        nonlocal inside, skip
         while stack:
-            top, _ = stack.pop()
+            top, mark = stack.pop()
             inside -= top in ("article", "main")
+            skip -= mark == -2
             if top == name:
                 return
 
@@ -166,7 +167,14 @@ def cut(html: str) -> _Page:
         if name in BLOCKS:
             flush()
             anchor = 0
-        if name not in BLOCKS and name not in ("span", "label") or name in VOID or name == "p" or name in ("html", "body"):
+            if stack and stack[-1][0] == "p":  # a paragraph ends where another block starts or ends
+                stack.pop()
+        if name not in BLOCKS and name not in ("span", "label") or name in VOID or name in ("html", "body"):
+            continue
+        if name == "p":
+            if not ending and "=" in attributes and _hinted(attributes, inside > 0):
+                serial += 1
+                stack.append((name, serial))
             continue
         if ending:
             if any(name == t for t, _ in stack):
@@ -181,14 +189,18 @@ def cut(html: str) -> _Page:
             stack.append((name, -1))
             continue
         mark = -1
-        if name in OUTSIDE or name == "label" or name == "header" and not inside or "=" in attributes and _hinted(attributes, inside > 0):
+        if name in ("span", "label"):
+            left_out = name == "label" or _hinted(attributes, True)
+            skip += left_out
+            stack.append((name, -2 if left_out else -1))
+            continue
+        if name in OUTSIDE or name == "header" and not inside or "=" in attributes and _hinted(attributes, inside > 0):
             flush()
             serial += 1
             mark = serial
-        if name in BLOCKS or mark >= 0:
-            if name == "li" and any(t == "li" for t, _ in stack[-1:]):
-                stack.pop()
-            stack.append((name, mark))
+        if name == "li" and stack and stack[-1][0] == "li":
+            close("li")
+        stack.append((name, mark))
     flush()
     return page
 
