@@ -107,6 +107,18 @@ def test_memory_trace_and_fit(spark, tmp_path):
     assert [(r.speedup, r.p, r.law) for r in x] == [(1.0, 1.0, 1.0), (2.0, 1.0, 2.0)]
 
 
+def test_sweep_of_one_point(tmp_path):
+    path = write(tmp_path / "a.csv", [row(), row(lat="56")])
+    rows = bench.split_sweep([path], 1, [8])
+    assert rows[0]["split_mb"] == 8 and rows[0]["time_s"] > 0 and rows[0]["peak_ram_mib"] > 50
+    assert bench.measured([str(tmp_path / "none.csv")], 1, 8) == (-1.0, -1.0)
+    bench.write_rows(rows, str(tmp_path / "b.csv"))
+    assert (tmp_path / "b.csv").read_text().startswith("split_mb,time_s,peak_ram_mib")
+    sweep = [{"workers": 1, "speedup": 1.0}, {"workers": 4, "speedup": 2.5}, {"workers": 8, "speedup": None}]
+    assert round(bench.fitted_share(sweep), 6) == 0.8 and bench.fitted_share([]) is None
+    assert isinstance(bench.charts([], [], str(tmp_path / "c")), list)
+
+
 def test_stream_fills_the_store(spark, tmp_path):
     (tmp_path / "in").mkdir()
     args = str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "ck")

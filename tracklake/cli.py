@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import json
 import os
 from collections.abc import Sequence
 
@@ -33,17 +32,17 @@ def main(argv: Sequence[str] | None = None) -> int:
     two.add_argument("--out", default="results")
     three = sub.add_parser("bench", help="sweeps of ingest over split sizes and workers")
     three.add_argument("files", nargs="+")
-    three.add_argument("--out", default="bench.json")
+    three.add_argument("--out", default="bench", help="prefix of two CSV files and, with matplotlib, four charts")
     for s in (one, two, three):
         s.add_argument("--workers", type=int)
         s.add_argument("--split-mb", type=int)
     args = p.parse_args(argv)
     if args.what == "bench":
         most = args.workers or os.cpu_count() or 1
-        rows = {"splits": bench.split_sweep(args.files, most), "workers": bench.worker_sweep(args.files, bench.worker_counts(most))}
-        with open(args.out, "w") as f:
-            json.dump(rows, f, indent=1)
-        bench.chart(rows["workers"], f"{args.out}.png")
+        splits, workers = bench.split_sweep(args.files, most), bench.worker_sweep(args.files, bench.worker_counts(most))
+        bench.write_rows(splits, f"{args.out}_splits.csv")
+        bench.write_rows(workers, f"{args.out}_workers.csv")
+        bench.charts(splits, workers, f"{args.out}_")
         return 0
     spark = session(args.workers, args.split_mb)
     if args.what == "ingest":

@@ -87,19 +87,47 @@ def with_fit(rows: DataFrame) -> DataFrame:
     return x.crossJoin(F.broadcast(top)).withColumn("law", amdahl(F.col("p"), F.col("workers")))
 
 
-def chart(rows: list[dict], path: str) -> bool:
-    """A chart of the worker sweep where matplotlib is installed."""
+def write_rows(rows: list[dict], path: str) -> None:
+    """Sweep results as a CSV file with a header."""
+    import csv
+
+    with open(path, "w", newline="") as f:
+        w = csv.DictWriter(f, list(rows[0]) if rows else [])
+        w.writeheader()
+        w.writerows(rows)
+
+
+def fitted_share(rows: list[dict]) -> float | None:
+    """The parallel share at the highest number of workers that was measured; None without one."""
+    top = max((r for r in rows if r["speedup"]), key=lambda r: r["workers"], default=None)
+    if top is None:
+        return None
+    n, s = top["workers"], top["speedup"]
+    return 1.0 if n == 1 else min(1.0, max(0.0, (1 / s - 1) / (1 / n - 1)))
+
+
+def charts(splits: list[dict], workers: list[dict], prefix: str) -> list[str]:
+    """Four charts, ``prefix`` and a number each: time and memory by split size, speed-up with the
+    fitted law, memory by workers.  None where matplotlib isn't installed."""
     try:
         import matplotlib
 
         matplotlib.use("Agg")
         import matplotlib.pyplot as plt
     except ImportError:
-        return False
-    fig, ax = plt.subplots()
-    ax.plot([r["workers"] for r in rows], [r["speedup"] for r in rows], marker="o")
-    ax.set_xlabel("workers")
-    ax.set_ylabel("speed-up")
-    fig.savefig(path)
-    plt.close(fig)
-    return True
+        return []
+    p = fitted_share(workers)
+    law = [None if p is None else 1 / ((1 - p) + p / r["workers"]) for r in workers]
+    made = []
+    for k, (rows, x, ys) in enumerate(
+        ((splits, "split_mb", [("time_s", None)]), (splits, "split_mb", [("peak_ram_mib", None)]), (workers, "workers", [("speedup", None), ("law", law)]), (workers, "workers", [("peak_ram_mib", None)])), 1
+    ):
+        fig, ax = plt.subplots()
+        for name, values in ys:
+            ax.plot([r[x] for r in rows], values or [r[name] for r in rows], marker="o", label=name)
+        ax.set_xlabel(x)
+        ax.legend()
+        made.append(f"{prefix}{k}.png")
+        fig.savefig(made[-1])
+        plt.close(fig)
+    return made
