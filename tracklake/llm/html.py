@@ -51,7 +51,8 @@ HINTS = frozenset(
     "ad ads adv advert advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu menubar "
     "breadcrumb breadcrumbs sidebar aside complementary footer foot contentinfo cookie cookies consent gdpr notice notification alert "
     "popup modal overlay newsletter subscribe signup login comment comments respond discussion disqus share sharing social related "
-    "recommended pagination pager toolbar widget form search searchbox".split()
+    "recommended pagination pager toolbar widget form search searchbox commentlist commentform commentbox replies sidenav topnav subnav "
+    "colophon adbox adslot adunit leaderboard skyscraper toc skiplink".split()
 )
 HEADERS = frozenset("header masthead topbar banner".split())
 
