@@ -15,7 +15,9 @@ from ..schema import PING
 def read_reports(spark: SparkSession, paths: str | Sequence[str], cfg: Config = DEFAULT) -> DataFrame:
     """Raw report files with a header, all columns as text, with ``seq`` in source order.
 
-    Columns are found by name; those that a file lacks are null.  ``seq`` orders rows by the file's
+    Columns are found by name; those that a file lacks are null.  A path may be a folder or a
+    pattern: its files, which must share a header, are one scan in order of name; this is the way
+    for thousands of files.  ``seq`` orders rows by the file's
     place in ``paths``, then by place in the file: it is made at the scan from the file, the start of
     its split and the row's number there, so it holds whatever order splits are read in.
     """
