@@ -27,14 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pooled
+
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 IDS = "doc_id long, ids array<int>"
 #: Words above so many bytes go through the query for long words.
 LONG = 256
 #: Words that one query contracts, and bytes of text split at once.
 WORDS_AT_ONCE, TEXT_AT_ONCE = 30_000, 8_000_000
-#: Words that a worker remembers at most, about 250 bytes each; further ones are encoded anew.
-REMEMBERED = 500_000
+#: Words that a worker remembers, about 250 bytes each.
+REMEMBERED = 400_000
 
 _PAIRS = "from t where not done window w as (order by pos)"
 #: best: the least rank of a word, in the high half, and the first position that has it.
@@ -151,13 +153,16 @@ class Encoder:
                 n += 1
             now, texts = texts[:n], texts[n:]
             split = [self.split(x or "") for x in now]
-            ids = self._learn(sorted(set(chain.from_iterable(split)).difference(self.ids)))
-            if len(self.ids) + len(ids) <= REMEMBERED:
-                self.ids.update(ids)
-                ids = {}
-            for words in split:
-                text = " ".join([ids[w] if w in ids else self.ids[w] for w in words]) if ids else " ".join(map(self.ids.__getitem__, words))
-                yield text, "".join(words if not self.other else [self.other.get(w, w) for w in words]).encode("utf-8")
+            words = set(chain.from_iterable(split))
+            made = self._learn(sorted(words.difference(self.ids)))
+            if len(self.ids) + len(made) > REMEMBERED:  # what is in use now stays
+                self.ids = {w: self.ids[w] for w in words if w in self.ids}
+            self.ids.update(made)
+            for x in split:
+                yield " ".join(map(self.ids.__getitem__, x)), "".join(x if not self.other else [self.other.get(w, w) for w in x]).encode("utf-8")
+            for w in made:
+                if len(w) > LONG:
+                    del self.ids[w]
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -177,7 +182,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Rows (doc_id, ids) for every whole text; ``path`` is a rank file that executors can open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pooled(batches, "text", TEXT_AT_ONCE):
             ids = [[int(x) for x in text.split()] for text, _ in _encoder(path, pattern)(b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
@@ -212,7 +217,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encodes and decodes every whole text; per document the number of ids and two hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pooled(batches, "text", TEXT_AT_ONCE):
             rows = []
             for ids, raw in _encoder(path, pattern)(b.column("text").to_pylist()):
                 rows.append((ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()))

@@ -6,8 +6,10 @@ import atexit
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +72,20 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def pooled(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Arrow batches joined until ``column`` holds ``size`` bytes."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        held.append(b)
+        n += b.column(column).nbytes
+        if n >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder, deleted when the driver's process ends."""
     path = f"{shared_dir(spark)}/tracklake/{tag}-{uuid.uuid4().hex}"
