@@ -289,6 +289,8 @@ def test_rollup_commits(spark):
 def test_word_ids_equal_the_library(prose):
     w = packing.WordIds(WORDS)
     odd = ["", None, "Foo, bar.. x.,y <|ENDOFTEXT|> a<|endoftext|>b ÉCOLE, é, é. Straße ΣΑΣ  x y\x1cz 123.45 ... a.b,c don't 'tis're", "x" * 3000 + " " + "ab," * 500, "é ́e ö, 가"]
+    r = random.Random(8)
+    odd += ["".join(r.choice("abEÉéßΣσςİıǅﬁñÑ́̈·ªº가각ж.,'*%<|>0²½ \n") for _ in range(60)) for _ in range(300)]
     texts = [*odd, *[prose(k).title().replace(" ", ", ", 5) for k in range(50)]]
     want = [np.array(e.ids, dtype="<u4").tobytes() for e in w.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     assert list(w(texts)) == want

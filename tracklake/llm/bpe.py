@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pooled
+from .common import memory_of, pooled
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 IDS = "doc_id long, ids array<int>"
@@ -165,13 +165,11 @@ class Encoder:
                     del self.ids[w]
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
-
-
 def _encoder(path: str, pattern: str) -> Encoder:
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = Encoder(path, pattern)
-    return _encoders[path, pattern]
+    memory = memory_of("bpe")
+    if (path, pattern) not in memory:
+        memory[path, pattern] = Encoder(path, pattern)
+    return memory[path, pattern]
 
 
 def _needed(docs: DataFrame) -> DataFrame:

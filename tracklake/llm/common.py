@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -72,6 +75,25 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: What this Python worker remembers between tasks, by operator.
+remembered: dict[str, dict] = {}
+
+
+def memory_of(operator: str) -> dict:
+    """The worker's memory of one operator; that of any other is given up first.
+
+    Workers serve one operator after the other; so what they remember never adds up.
+    """
+    if remembered.keys() - {operator}:
+        for name in [n for n in remembered if n != operator]:
+            del remembered[name]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)  # back to the system, where the C library can
+    return remembered.setdefault(operator, {})
+
+
 def pooled(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
     """Arrow batches joined until ``column`` holds ``size`` bytes."""
     held: list[pa.RecordBatch] = []

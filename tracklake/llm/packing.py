@@ -15,6 +15,9 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
+import string
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -25,61 +28,98 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, memory_of, pooled
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, place long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Words whose ids a worker remembers at most, about 200 bytes each; further ones are encoded anew.
-REMEMBERED = 900_000
+#: Words whose ids a worker remembers, about 400 bytes each, and bytes of the longest such word.
+REMEMBERED, LONGEST = 500_000, 64
+PUNCTUATION = string.punctuation.encode()
+#: A stop or comma that ends a word after a letter is a piece of its own; a space before it changes no ids.
+_STOP = re.compile(rb"(?<=[a-z])[.,](?=[ \n])")
 #: Bytes of text that are split into words at once.
-AT_ONCE = 4_000_000
+AT_ONCE = 2_000_000
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies have for each byte; a space stays."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(hidden)} | {32: " "}
 
 
 class WordIds:
-    """Ids of whole texts by a tokenizer that drops white space, word by word.
+    """Ids of whole texts by a byte-level tokenizer that drops white space, word by word.
 
     Text between ASCII white space is encoded once and remembered, which gives the ids of
     ``Tokenizer.encode`` on the whole text where no token spans white space.  ASCII capitals
-    are folded first where the tokenizer folds them anyway.  Words of letters alone are encoded
-    many at a time: each ends with the one token that closes a word.
+    are folded first where the tokenizer folds them anyway.  Words of letters alone that are in
+    composed form need neither normalising nor splitting: folded, they go many at a time to the
+    tokenizer's model by a second tokenizer without these steps; each word then ends with the one
+    token that closes a word.
     """
 
     def __init__(self, path: str, fold: bool = True, close: str = "</w>"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks run in parallel already
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.fold, self.known = Tokenizer.from_file(path), fold, {}
+        self.tokenizer, self.fold = Tokenizer.from_file(path), fold
+        self.plain = Tokenizer(self.tokenizer.model)  # the model is shared
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.known: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith(close)]] = True
+        self.letters = _byte_letters()
 
     def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
-        text = [w.decode() for w in words]
-        alpha = [k for k, w in enumerate(text) if w.isalpha()]
+        plain = [w for w in words if w.isalpha()] if self.fold else []  # ASCII letters, folded
+        rest, texts, accented = [], [], []
+        for w in words:
+            if self.fold and w.isalpha():
+                continue
+            text = w.decode("utf-8")
+            # a capital sigma folds by its place in the word in some libraries
+            low = text.lower()
+            if self.fold and low.isalpha() and "\u03a3" not in text and unicodedata.is_normalized("NFC", text):
+                plain.append(w)
+                accented.append(low)
+            else:
+                rest.append(w)
+                texts.append(text)
         out: dict[bytes, bytes] = {}
-        if alpha:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(text[k] for k in alpha)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(alpha):
-                raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
-                out = {words[k]: raw[a:b] for k, a, b in zip(alpha, at, at[1:])}
-        rest = [k for k, w in enumerate(words) if w not in out]
+        if plain:
+            joined = b" ".join(plain[: len(plain) - len(accented)]).lower().decode("ascii")
+            if accented:
+                joined += " " + " ".join(accented).encode("utf-8").decode("latin-1").translate(self.letters)
+            ids = np.array(self.plain.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = 4 * (np.flatnonzero(self.closes[ids]) + 1)
+            if len(ends) == len(plain):
+                raw, at = ids.tobytes(), [0, *ends.tolist()]
+                out = dict(zip(plain, map(raw.__getitem__, map(slice, at, at[1:]))))
+            else:  # no such case is known
+                rest, texts = rest + plain, texts + [w.decode("utf-8") for w in plain]
         if rest:
-            made = self.tokenizer.encode_batch_fast([text[k] for k in rest], add_special_tokens=False)
-            out.update((words[k], np.array(e.ids, dtype="<u4").tobytes()) for k, e in zip(rest, made))
+            made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            out.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(rest, made))
         return out
 
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of ``words``; stops and commas after an ASCII letter are a piece of their own."""
-        parts = {}
+        """Ids of ``words``; punctuation that ends a word after a letter is a piece of its own."""
+        need, parts = set(), []
         for w in words:
-            core = w.rstrip(b".,")
-            if len(core) < len(w) and core[-1:].isalpha():
-                parts[w] = core, w[len(core) :]
-        need = (words - parts.keys()).union(*parts.values())
-        made = self._encode(sorted(need - self.known.keys()))
-        of = lambda w: made[w] if w in made else self.known[w]
-        made.update({w: of(a) + of(b) for w, (a, b) in parts.items()})
+            core = w if w[-1:].isalpha() else w.rstrip(PUNCTUATION)
+            if core and len(core) < len(w) and b"<|" not in w and core[-4:].decode("utf-8", "ignore")[-1:].lower()[-1:].isalpha():
+                tail = w[len(core) :]
+                parts.append((w, core, tail))
+                need.add(core)
+                need.add(tail)
+            else:
+                need.add(w)
+        made = self._encode(list(need.difference(self.known)))
+        known = self.known
+        for w, core, tail in parts:
+            made[w] = (made.get(core) or known[core]) + (made.get(tail) or known[tail])
         return made
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
@@ -94,19 +134,19 @@ class WordIds:
             for text in now:
                 raw = (text or "").encode("utf-8")
                 # names of special tokens are told apart by case
-                split.append((raw.lower() if self.fold and b"<|" not in raw else raw).split())
-            made = self._learn(set(chain.from_iterable(split)).difference(self.known))
-            if len(self.known) + len(made) <= REMEMBERED:
-                self.known.update(made)
-                made = {}
-            for words in split:
-                if made:
-                    yield b"".join([made[w] if w in made else self.known[w] for w in words])
-                else:
-                    yield b"".join(map(self.known.__getitem__, words))
-
-
-_encoders: dict[str, WordIds] = {}
+                if b"<|" not in raw:
+                    raw = _STOP.sub(rb" \g<0>", raw.lower() if self.fold else raw)
+                split.append(raw.split())
+            words = set(chain.from_iterable(split))
+            made = self._learn(words.difference(self.known))
+            if len(self.known) + len(made) > REMEMBERED:  # what is in use now stays
+                self.known = {w: self.known[w] for w in words if w in self.known}
+            self.known.update(made)
+            for x in split:
+                yield b"".join(map(self.known.__getitem__, x))
+            for w in made:
+                if len(w) > LONGEST:
+                    del self.known[w]
 
 
 def cut_documents(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1) -> DataFrame:
@@ -114,10 +154,11 @@ def cut_documents(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _encoders:
-            _encoders[tokenizer] = WordIds(tokenizer)
-        ids_of, part, places = _encoders[tokenizer], TaskContext.get().partitionId(), {}
-        for b in batches:
+        memory = memory_of("packing")
+        if tokenizer not in memory:
+            memory[tokenizer] = WordIds(tokenizer)
+        ids_of, part, places = memory[tokenizer], TaskContext.get().partitionId(), {}
+        for b in pooled(batches, "text", AT_ONCE):
             rows: list[tuple] = []
             for doc, ids in zip(b.column("doc_id").to_pylist(), ids_of(b.column("text").to_pylist())):
                 ids += end

@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import memory_of
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
 TOKENS, CHARS, REACH = 6, 120, 3
@@ -366,6 +368,7 @@ def found(docs: DataFrame) -> DataFrame:
     field = trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory_of("pii")
         for b in batches:
             rows = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
@@ -395,6 +398,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory_of("pii")
         for b in batches:
             made = [None if (x := t.as_py()) is None else redact(x, all_spans(x, field)[1]) for t in b.column(at)]
             cols = list(b.columns)

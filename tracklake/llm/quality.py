@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITE, durable
+from .common import WHITE, durable, memory_of
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
 SYMBOLS = b"#*$%&|<>"
@@ -90,6 +90,7 @@ def counts_of(text: str | None) -> tuple[int, ...]:
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    memory_of("quality")
     for b in batches:
         rows = [counts_of(x.as_py()) for x in b.column("text")]
         made = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * len(COUNTS), COUNTS)
