@@ -174,6 +174,15 @@ def test_open_buckets_lose_no_link(spark):
         assert [{r.a, r.b} for r in got] == [{1, 2}]
 
 
+def test_open_buckets_with_components_of_one_size(spark):
+    """Two components of two, interleaved, one member of each near the other's: the link is found."""
+    sets = [set(range(0, 100)), set(range(200, 300)), set(range(40, 140)), set(range(45, 145))]
+    rows = [(5, n, 10 + n % 2, 0, sorted(s), [5], 0, 0) for n, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "bucket long, node long, component long, block int, found array<long>, bands array<long>, low int, high int")
+    got = df.groupBy("bucket", "low", "high").applyInArrow(minhash._across(80), "a long, b long").collect()
+    assert [{r.a, r.b} for r in got] == [{2, 3}]
+
+
 def test_near_copy_rows(spark, odd, none):
     rows = [(k, r.doc_id, r.text) for k, r in enumerate(odd.collect())]
     got = minhash.grouped(odd, width=4).collect()

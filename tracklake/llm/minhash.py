@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITE, components, durable, thinned
+from .common import WHITE, components, durable, memory_of, thinned
 
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[list(WHITE)] = True
@@ -130,6 +130,7 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, node (null without words) and band keys of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory_of("minhash")
         refill = _refill(bands * rows)
         for b in batches:
             n, node, keys = [], [], []
@@ -152,6 +153,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(node, found) for ``wanted`` (node, doc_id): the full sets, in no order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory_of("minhash")
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
@@ -196,8 +198,9 @@ def _across(percent: int):
         group = np.unique(component, return_inverse=True)[1]
         mark = np.zeros(int(ids.max()) + 1, dtype=np.int32)
         out: list[tuple[int, int]] = []
-        order = np.argsort(np.bincount(group)[group], kind="stable")  # small components first
-        for x in order:
+        # small components first; every pair across has an end outside the largest one
+        members = np.bincount(group)
+        for x in np.flatnonzero(group != members.argmax())[np.argsort(members[group[group != members.argmax()]], kind="stable")]:
             apart = group != group[x]
             if two:
                 apart &= own != own[x]
