@@ -116,7 +116,7 @@ def maintained(docs: DataFrame, store: str, path: str, pattern: str, name: str)
     """
     need = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("text").cast("string"), F.xxhash64("text").alias("hash"))
     rows = durable(counted(need, path, pattern, name), "token-counts")
-    first = rows.groupBy("hash").agg(F.min("doc_id").alias("first"))
+    first = durable(rows.groupBy("hash").agg(F.min("doc_id").alias("first")), "first")  # written, so that the join can split a hot text
     rows = durable(rows.join(first, "hash").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first"))), "token-changes")
     insert = rows.withColumn("op", F.lit("insert"))
     delete = rows.where("NOT stays").withColumn("op", F.lit("delete"))
