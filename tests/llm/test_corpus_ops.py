@@ -100,6 +100,18 @@ def test_line_templates(spark, prose):
     assert sum(g[2] for g in got.values()) == 19 + 9 and got[200][2] == 0 and "Posted" in got[0][3] and "Posted" not in got[2][3]
 
 
+def test_several_templates_in_a_leaf(spark, prose):
+    """Two templates of 60 and 40 texts, and six whose common template is a mixture that matches none of them."""
+    two = ["Read more about our news from here or by post", "Read more about cats than you ever wanted to know"]
+    six = [" ".join(["Sent to you", *[f"{c}{chr(97 + (k * 7 + j) % 5)}" for j in range(9)]]) for k, c in enumerate("abcdef")]
+    rows = [(k, f"{prose(5000 + k, 12)}\n{two[k >= 60]}\n{prose(6000 + k, 9)}") for k in range(100)]
+    rows += [(200 + k, f"{prose(7000 + k, 12)}\n{six[k % 6]}\n{prose(8000 + k, 9)}") for k in range(42)]
+    got = {r.doc_id: r for r in lines.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d for d, r in got.items() if r.n_recurring == 0} == set()
+    assert {d for d, r in got.items() if r.n_dropped == 0} == {0, 60, 200, 201, 202, 203, 204, 205}
+    assert all(sum(x in r.text.split("\n") for r in got.values()) == 1 for x in [*two, *six])
+
+
 def test_line_rows(odd, none):
     got = lines.deduplicated(odd)
     assert got.columns == odd.columns and got.count() == odd.count()

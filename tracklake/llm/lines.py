@@ -8,6 +8,11 @@ them; the positions where its lines differ are further variable fields.  Templat
 occur in ``min_docs`` different texts are recurring.  Of a recurring template the first line
 (least doc_id, then place) stays and all others go, so what they say is in the corpus once.
 
+A leaf can hold several templates.  Lines that miss a recurring one go through the same step
+again; lines of a leaf whose template doesn't recur, as it may be a mixture of several, are first
+parted by the place and token that most of them have.  This ends when no part has ``min_docs``
+texts.  Lines left over are then held against all later templates of their leaf.
+
 Two kinds of lines are left alone: lines of fewer than ``min_tokens`` tokens, which recur by
 nature, and lines of documents in which ``whole`` of the lines or more are recurring; such a
 document is a copy, or near to one, and is to be dealt with as a document.  Copies of a text count
@@ -24,6 +29,8 @@ Other columns are passed on as they are.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,27 +65,56 @@ def frequent_leaves(lines: DataFrame, min_docs: int) -> DataFrame:
 
 
 def templates(lines: DataFrame) -> DataFrame:
-    """(leaf, template): the most frequent token at each position."""
+    """(leaf, template, split): the most frequent token at each position.
+
+    ``split`` is the place and token (at, token) that most lines of the leaf have but not all.
+    """
     held = lines.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
-    most = held.groupBy("leaf", "at").agg(F.max_by("token", F.struct("n", "token")).alias("token"))
-    rows = most.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("xs"))
-    return rows.select("leaf", F.col("xs.token").alias("template"))
+    most = held.groupBy("leaf", "at").agg(F.max_by("token", F.struct("n", "token")).alias("token"), F.max("n").alias("n"), F.sum("n").alias("all"))
+    apart = F.max_by(F.when(F.col("n") < F.col("all"), F.struct("at", "token")), F.when(F.col("n") < F.col("all"), F.struct("n", -F.col("at"))))
+    rows = most.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("xs"), apart.alias("split"))
+    return rows.select("leaf", F.col("xs.token").alias("template"), "split")
+
+
+def _fits(similar: float) -> Column:
+    """How many of a line's tokens equal the template's, where they are enough; else null."""
+    same = F.size(F.filter(F.zip_with("tokens", "template", lambda a, b: a == b), lambda equal: equal))
+    return F.when(same >= similar * F.size("tokens"), same)
 
 
 def recurring(docs: DataFrame, lead: int, min_docs: int, similar: float, min_tokens: int) -> DataFrame:
     """(id, text, place, first): lines of recurring templates; ``first`` marks the one that stays."""
     lines = lines_of(docs, lead, min_tokens)
     leaves = durable(frequent_leaves(lines.select("leaf", "text"), min_docs), "leaves")
-    some = thinned(lines, "leaf", leaves, "leaf").select("id", "text", "place", "leaf", _tokens(F.col("line")).alias("tokens"))
-    some = durable(some.join(leaves, "leaf"), "leaf-lines")
-    # sums are written before they are joined, so that the join can split a hot leaf
-    both = some.join(durable(templates(some), "templates"), "leaf")
-    same = F.size(F.filter(F.zip_with("tokens", "template", lambda a, b: a == b), lambda equal: equal))
-    found = durable(both.where(same >= similar * F.size("tokens")).select("leaf", "id", "place", "text"), "template-lines")
+    some = thinned(lines, "leaf", leaves, "leaf").select("id", "text", "place", "leaf", F.col("leaf").alias("top"), _tokens(F.col("line")).alias("tokens"))
+    rest = durable(some.join(leaves, "leaf"), "leaf-lines")
+    found, kinds, loose = [], [], []
+    while not found or not rest.isEmpty():
+        # sums are written before they are joined, so that the join can split a hot leaf
+        both = rest.join(durable(templates(rest), "templates"), "leaf").withColumn("fits", _fits(similar).isNotNull())
+        both = durable(both, "template-lines")
+        hits = both.where("fits")
+        often = hits.groupBy("leaf", "text").agg(F.first("top").alias("top"), F.first("template").alias("template")).groupBy("leaf")
+        often = durable(often.agg(F.count("*").alias("n"), F.first("top").alias("top"), F.first("template").alias("template")).where(F.col("n") >= min_docs), "recurring")
+        found.append(hits.join(often.select("leaf"), "leaf").select("leaf", "id", "place", "text"))
+        kinds.append(often.select("top", "leaf", "template"))
+        # lines that miss a recurring template go on together; a leaf without one is split in two
+        one = F.coalesce(F.get("tokens", F.col("split.at")) == F.col("split.token"), F.lit(False)).cast("int")
+        left = both.join(often.select("leaf", F.lit(True).alias("hit")), "leaf", "left").where("hit IS NULL OR NOT fits")
+        left = durable(left.select("id", "text", "place", F.xxhash64("leaf", F.when(F.col("hit"), 2).otherwise(one)).alias("leaf"), "top", "tokens"), "left")
+        leaves = durable(frequent_leaves(left, min_docs), "leaves")
+        loose.append(left.join(leaves, "leaf", "left_anti"))
+        rest = durable(left.join(leaves, "leaf"), "leaf-lines")
+    more = durable(reduce(DataFrame.union, kinds[1:]), "kinds") if kinds[1:] else None
+    if more is not None and not more.isEmpty():
+        # a split can part few lines from their template: they are held against all of the leaf's
+        each = reduce(DataFrame.union, loose).drop("leaf").join(more, "top").withColumn("same", _fits(similar)).where("same IS NOT NULL")
+        key = [F.col(c) for c in ("id", "text", "place")]
+        found.append(each.groupBy(*key).agg(F.max_by("leaf", F.struct("same", "leaf")).alias("leaf")).select("leaf", "id", "place", "text"))
+    found = durable(reduce(DataFrame.union, found), "found")
     at = F.struct(F.col("id").isNull().alias("none"), "id", "text", "place")
-    often = found.groupBy("leaf", "text").agg(F.min(at).alias("at")).groupBy("leaf").agg(F.count("*").alias("n"), F.min("at").alias("least"))
-    often = durable(often.where(F.col("n") >= min_docs).select("leaf", "least"), "recurring")
-    return found.join(often, "leaf").select("id", "text", "place", (at == F.col("least")).alias("first"))
+    least = durable(found.groupBy("leaf").agg(F.min(at).alias("least")), "least")
+    return found.join(least, "leaf").select("id", "text", "place", (at == F.col("least")).alias("first"))
 
 
 def marked(docs: DataFrame, lead: int = 3, min_docs: int = 5, similar: float = 0.6, min_tokens: int = 4, whole: float = 0.8) -> DataFrame:
