@@ -48,6 +48,22 @@ def test_undecided_blocks_follow_their_neighbours():
     assert html.second_pass([None, None]) == [True, True] and html.second_pass([]) == []
 
 
+def test_articles_that_are_not_the_article():
+    good = ("the cat is on the mat and it was of a kind that you had not seen " * 4).strip()
+    note = "I was at the same place as you and it is all of it true, so thank you for this."
+    comments = f'<section id="comments"><article class="comment"><p>{note}</p></article><article><p>{note}</p></article></section>'
+    body = f"<div><h1>Title</h1><p>{good}</p><p>It is short.</p><p>{good}</p></div>"
+    want = ["Title", good, "It is short.", good]
+    assert html.main_text(body + comments).split("\n") == want
+    assert html.main_text(body + f'<article class="teaser"><p>{note}</p></article>').split("\n") == want
+    assert html.main_text(f"<article>{body}{comments}</article>{comments}").split("\n") == want
+    # a body beside an article that bears no mark stays, too
+    assert html.main_text(f"{body}<article><p>{note}</p></article>").split("\n") == [*want, note]
+    # the words can be on what holds the whole page
+    assert html.main_text(f'<div class="comments-open"><article>{body}</article></div><p>2024</p>').split("\n") == want
+    assert html.main_text(f'<div class="comments-open"><main>{body}</main></div>{body}').split("\n") == [*want, *want]
+
+
 def test_pages_equal_a_plain_reading(spark):
     """The driver's pages have one article of h1 and p; a regular expression reads it."""
 

@@ -3,9 +3,11 @@
 A page is cut into blocks at block-level tags.  Blocks inside elements that never hold the article
 (menus, page headers and footers, sidebars, notices, adverts, forms, reader comments; by tag, role
 or class) leave first.  Pass one labels each block by length, link density and stop-word density,
-more readily good inside an ``article`` or ``main`` element, and bad outside one where the page
-has such an element.  Short and middling blocks stay undecided; pass two gives them the label of
-their nearest decided neighbours.
+more readily good inside an ``article`` or ``main`` element.  Short and middling blocks stay
+undecided; pass two gives them the label of their nearest decided neighbours, inside and outside
+such an element apart.  Where the page has one, what is outside stays only if a block there is good.
+An ``article`` that is, or stands in, a reader comment, a teaser or an advert doesn't count and
+leaves with it, unless the page has nothing else to read.
 
 Within a block, character references are decoded and white space becomes one space; kept blocks
 are joined by a newline in page order.  Tags that the page ends in are dropped, open elements end
@@ -54,6 +56,11 @@ HINTS = frozenset(
     "recommended pagination pager toolbar widget form search searchbox commentlist commentform commentbox replies sidenav topnav subnav "
     "colophon adbox adslot adunit leaderboard skyscraper toc skiplink".split()
 )
+# Words that mark reader comments, teasers and adverts also on, or around, an article element.
+ASIDES = frozenset(
+    "comment comments respond discussion disqus commentlist commentform commentbox replies related recommended teaser teasers "
+    "ads advert advertisement advertising sponsor sponsored promo promotion".split()
+)
 HEADERS = frozenset("header masthead topbar banner".split())
 
 SHORT, LONG, LINKS = 70, 200, 0.4
@@ -77,6 +84,7 @@ class Block:
 class _Page:
     blocks: list[Block] = field(default_factory=list)
     void: set[int] = field(default_factory=set)  # marks that turned out to hold the article
+    held: set[int] = field(default_factory=set)  # marks of comments, teasers and adverts, which an article within doesn't void
     article: bool = False
 
 
@@ -88,10 +96,17 @@ def _hinted(attributes: str, inside: bool) -> bool:
     return False
 
 
-def cut(html: str) -> _Page:
-    """The page's blocks, with what is known of the elements around each."""
+def _aside(attributes: str) -> bool:
+    return any({w.lower() for w in _WORDS.findall(m[1] or m[2] or m[3] or "")} & ASIDES for m in _MARK.finditer(attributes))
+
+
+def cut(html: str, strict: bool = True) -> _Page:
+    """The page's blocks, with what is known of the elements around each.
+
+    Without ``strict`` every article element counts as one, and voids what is around it.
+    """
     page, parts, links = _Page(), [], 0
-    stack: list[tuple[str, int]] = []  # open elements that matter: with their mark, -1, or -2 if inline and left out
+    stack: list[tuple[str, int]] = []  # open elements that matter: with their mark, -1, -2 if inline and left out, or -3 if an article that counts
     inside = anchor = serial = breaks = skip = 0
 
     def flush() -> None:
@@ -117,7 +132,7 @@ def cut(html: str) -> _Page:
         nonlocal inside, skip
         while stack:
             top, mark = stack.pop()
-            inside -= top in ("article", "main")
+            inside -= mark == -3
             skip -= mark == -2
             if top == name:
                 return
@@ -184,10 +199,18 @@ def cut(html: str) -> _Page:
         if attributes.endswith("/"):
             continue
         if name in ("article", "main"):
+            if name == "article" and strict and "=" in attributes and _aside(attributes):
+                serial += 1
+                page.held.add(serial)
+                stack.append((name, serial))
+                continue
+            if name == "article" and any(m in page.held and m not in page.void for _, m in stack):
+                stack.append((name, -1))
+                continue
             page.article = True
             page.void.update(m for t, m in stack if m >= 0 and t not in OUTSIDE)
             inside += 1
-            stack.append((name, -1))
+            stack.append((name, -3))
             continue
         mark = -1
         if name in ("span", "label"):
@@ -199,6 +222,8 @@ def cut(html: str) -> _Page:
             flush()
             serial += 1
             mark = serial
+            if strict and _aside(attributes):
+                page.held.add(mark)
         if name == "li" and stack and stack[-1][0] == "li":
             close("li")
         stack.append((name, mark))
@@ -213,7 +238,7 @@ def stop_density(text: str) -> float:
 
 def first_pass(page: _Page) -> tuple[list[Block], list[bool | None]]:
     """The blocks that aren't ruled out by where they stand, with True, False or None (undecided)."""
-    blocks = [b for b in page.blocks if not any(m not in page.void for m in b.marks) and (b.inside or not page.article)]
+    blocks = [b for b in page.blocks if not any(m not in page.void for m in b.marks)]
     labels: list[bool | None] = []
     for b in blocks:
         n = len(b.text)
@@ -261,8 +286,18 @@ def second_pass(labels: list[bool | None], inside: list[bool] | None = None) ->
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    blocks, labels = first_pass(cut(html))
-    return "\n".join(b.text for b, good in zip(blocks, second_pass(labels, [b.inside for b in blocks])) if good)
+    page = cut(html)
+    blocks, labels = first_pass(page)
+    if page.held and not any(b.inside or x is not False and len(b.text) >= SHORT for b, x in zip(blocks, labels)):
+        page = cut(html, strict=False)  # nothing else to read: what was held is the page's text
+        blocks, labels = first_pass(page)
+    kept: set[int] = set()
+    for inside in (True, False):  # blocks in and outside an article don't decide on each other
+        at = [k for k, b in enumerate(blocks) if b.inside == inside]
+        own = [labels[k] for k in at]
+        if inside or not page.article or True in own:
+            kept.update(k for k, good in zip(at, second_pass(own, [inside] * len(at))) if good)
+    return "\n".join(b.text for k, b in enumerate(blocks) if k in kept)
 
 
 EXTRACTED = "page_id long, url string, text string, n_chars long"
