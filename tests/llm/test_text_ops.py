@@ -188,6 +188,16 @@ def test_field_adds_spans_and_leaves_clean_text_alone():
     assert pii.redact(text, pii.all_spans(text, field)[1]) == 'call [PHONE] or [EMAIL], token = "[SECRET]" [EMAIL]'
 
 
+def test_long_tokens_are_scored():
+    field, r = pii.trained(), random.Random(6)
+    made = lambda n: "".join(r.choice("ABCDEFxyzuvw0123456789_") for _ in range(n))
+    for secret in (made(121), made(700), made(5000), f"eyJ{made(33)}.eyJ{made(120)}.{made(43)}", "ab12" * 10000):
+        text = f'the token = "{secret}" and then some words'
+        assert pii.redact(text, pii.all_spans(text, field)[1]) == 'the token = "[SECRET]" and then some words'
+    text = "see https://example.org/" + "a-long-path/" * 20 + "?page=12 or " + "word-" * 40 + "end"
+    assert pii.all_spans(text, field)[1] == []
+
+
 def test_islands_give_the_best_labelling_of_the_whole():
     """The program over islands against all labellings of short texts."""
     field, r = pii.trained(), random.Random(4)

@@ -4,7 +4,8 @@ The patterns find e-mail addresses, IPv4 addresses, payment cards and internatio
 what they find stays.  Between those spans the random field proposes further ones (spelt-out
 addresses, IPv6, national phone numbers, cards with other separators, secrets): features are read
 off whole candidate segments and their surroundings, and a dynamic program over segments of at
-most ``TOKENS`` tokens and ``CHARS`` characters chooses boundaries and types together.  A segment
+most ``TOKENS`` tokens and, if of several, ``CHARS`` characters chooses boundaries and types
+together.  A segment
 needs a token with a digit, an at sign or a word for one, and starts and ends within ``REACH``
 tokens of such a token.  All other tokens can only be outside, so running the program on the
 islands around those tokens gives the best labelling of the whole text.
@@ -90,7 +91,7 @@ _TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]|^dot$", re.I)
 _ANY_TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]|\bdot\b", re.I)
 _TOKEN = re.compile(r"\S+")
 _EDGE = "\"'`()[]{}<>,.;:!?%#&*$=|~^«»“”"
-_HEX, _LONG_KEY = re.compile(r"[0-9A-Fa-f]{20,}"), re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9_+/\-]{20,}={0,2}")
+_HEX, _LONG_KEY = re.compile(r"[0-9A-Fa-f]{20,}"), re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9_+/\-]{20,}={0,2}|eyJ[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]+){2}")
 _IPV6 = re.compile(r"(?=.*[0-9])(?=(?:.*:){2})[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}")
 _CLOCK = re.compile(r"[0-9]{1,2}(:[0-9]{2}){1,2}")
 _DATE = re.compile(r"[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{2,4}")
@@ -166,12 +167,12 @@ def _segments(text: str, run: list[tuple[int, int, bool]]) -> list[tuple[int, in
         trigger = False
         for j in range(i, min(len(run), i + TOKENS)):
             trigger = trigger or run[j][2]
-            if run[j][1] - run[i][0] > CHARS + 8:
+            if j > i and run[j][1] - run[i][0] > CHARS + 8:
                 break
             if not trigger:
                 continue
             a, b = _trimmed(text, run[i][0], run[j][1])
-            if 0 < b - a <= CHARS:
+            if 0 < b - a and (j == i or b - a <= CHARS):
                 before = text[max(0, a - 40) : a].split()[-3:]
                 out.append((i, j + 1, a, b, segment_features(text, a, b, before, j + 1 - i)))
     return out
