@@ -49,36 +49,62 @@ def test_thinning_keeps_all_partners(spark):
 # --- 2 ---
 
 
-def brute_lines(docs, lead=3, min_docs=5, similar=0.6, min_tokens=4, whole=0.8):
+def brute_lines(docs, lead=3, similar=0.6, alike=0.95, evidence=24, variety=5):
     """docs: (id, text) without repeated ids."""
     mask = lambda t: "<*>" if any(c.isascii() and c.isdigit() for c in t) else t
-    leaves = defaultdict(list)
+    needed = lambda n: max(2, 1 + -(-evidence // n))
+    rows, often = [], Counter()
     for d, text in docs:
         for k, line in enumerate((text or "").split("\n")):
-            tokens = [mask(t) for t in line.strip(" ").split(" ")]
-            if len(tokens) >= min_tokens:
-                leaves[len(tokens), tuple(tokens[:lead])].append((d, text, k, tokens))
-    found, stays = defaultdict(set), set()
-    for rows in leaves.values():
-        if len({t for _, t, _, _ in rows}) < min_docs:
+            words = line.strip(" ").split(" ")
+            if line.strip(" \t\r\x0b\x0c"):
+                tokens = tuple(mask(t) for t in words)
+                rows.append((d, text, k, words, tokens))
+                often.update((len(tokens), tokens[:lead], j, t) for j, t in enumerate(tokens) if j >= lead and t != "<*>")
+
+    def template(tokens):
+        size = max(int(np.ceil(similar * len(tokens))), min(len(tokens), lead + 1))
+        led = sum(t != "<*>" for t in tokens[:lead])
+        rest = sorted((-often[len(tokens), tokens[:lead], j, t], j, t) for j, t in enumerate(tokens) if j >= lead and t != "<*>")[: size - led]
+        return (len(tokens), tokens[:lead], tuple(sorted(x[1:] for x in rest))), led + len(rest)
+
+    def recurring(key, constants, least, among):
+        groups = defaultdict(list)
+        for r in among:
+            groups[key(r)].append(r)
+        return {g: min(x[:3:2] for x in xs) for g, xs in groups.items() if len({x[1] for x in xs}) >= max(least, needed(constants(xs[0])))}
+
+    rows = [r for r in rows if any(t != "<*>" for t in r[4])]
+    wide = recurring(lambda r: template(r[4])[0], lambda r: template(r[4])[1], variety, rows)
+    rest = [r for r in rows if template(r[4])[0] not in wide]
+    own = recurring(lambda r: r[4], lambda r: sum(t != "<*>" for t in r[4]), 2, rest)
+    at = {r[:3:2]: r for r in rows}
+    text_of, size = dict(docs), lambda t: t.count(" ") + t.count("\n") + 1
+    found, drop, shared = defaultdict(set), defaultdict(set), defaultdict(Counter)
+    for r in rows:
+        first = wide.get(template(r[4])[0]) or own.get(r[4])
+        if first is None:
             continue
-        template = []
-        for col in zip(*(x[3] for x in rows)):
-            template.append(max(Counter(col).items(), key=lambda x: (x[1], x[0]))[0])
-        same = [x for x in rows if sum(a == b for a, b in zip(x[3], template)) >= similar * len(template)]
-        if len({t for _, t, _, _ in same}) >= min_docs:
-            for d, _, k, _ in same:
-                found[d].add(k)
-            stays.add(min((d, k) for d, _, k, _ in same))
+        found[r[0]].add(r[2])
+        if r[1] != text_of[first[0]]:
+            drop[r[0]].add(r[2])
+            shared[r[0], text_of[first[0]]].update(words=len(r[3]), same=sum(x == y for x, y in zip(r[3], at[first][3])))
+        elif r[2] != first[1]:
+            drop[r[0]].add(r[2])
+    for (d, other), n in shared.items():
+        if 2 * n["words"] >= max(size(text_of[d]), size(other)) and n["same"] >= alike * n["words"]:
+            drop[d] = set()
     out = {}
     for d, text in docs:
-        rows = (text or "").split("\n")
-        n = sum(bool(x.strip()) for x in rows)
-        drop = {k for k in found[d] if (d, k) not in stays} if len(found[d]) < whole * n else set()
-        out[d] = (n, len(found[d]), len(drop), None if text is None else "\n".join(x for k, x in enumerate(rows) if k not in drop))
+        lines = (text or "").split("\n")
+        out[d] = (sum(bool(x.strip()) for x in lines), len(found[d]), len(drop[d]), None if text is None else "\n".join(x for k, x in enumerate(lines) if k not in drop[d]))
     return out
 
 
+def line_report(spark, rows):
+    return {r.doc_id: (r.n_lines, r.n_recurring, r.n_dropped, r.text) for r in lines.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
 def test_line_templates(spark, prose):
     rows = []
     for k in range(40):
@@ -89,34 +115,68 @@ def test_line_templates(spark, prose):
             text.append("All rights reserved by us")
         if k % 10 == 0:
             text.append("ok then")
+        text.append(f"{k} 1{k}")  # fields alone are no evidence
         rows.append((k, "\n".join(text)))
     rows += [(100 + k, rows[1][1]) for k in range(30)]  # copies aren't recurring lines
     rows += [(200, "All rights reserved by us"), (201, None), (202, ""), (203, " \n ")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_lines, r.n_recurring, r.n_dropped, r.text) for r in lines.report(docs).collect()}
-    want = brute_lines(rows)
-    want[201] = (0, 0, 0, None)
+    got, want = line_report(spark, rows), brute_lines(rows)
     assert got == want
-    assert sum(g[2] for g in got.values()) == 19 + 9 and got[200][2] == 0 and "Posted" in got[0][3] and "Posted" not in got[2][3]
+    # 19 posts and 10 notices, one of them a document that is nothing else; "ok then" in 4 texts isn't enough
+    assert sum(g[2] for g in got.values()) == 19 + 10 and got[200][2] == 1 and "Posted" in got[0][3] and "Posted" not in got[2][3]
+    assert all(got[100 + k][3] == got[1][3] for k in range(30))
+
+
+def test_short_lines_go_by_evidence(spark, prose):
+    """One word in 25 texts, three words in 9; fewer texts aren't enough."""
+    rows = [(k, "\n".join([prose(3000 + k, 12), *["Les."] * (k < 25), *["All rights reserved."] * (k < 9), *["Of it, then."] * (k < 8), *["Oui."] * (k < 24)])) for k in range(40)]
+    got = line_report(spark, rows)
+    assert got == brute_lines(rows)
+    left = Counter(x for r in got.values() for x in r[3].split("\n"))
+    assert (left["Les."], left["All rights reserved."], left["Of it, then."], left["Oui."]) == (1, 1, 8, 24)
 
 
 def test_several_templates_in_a_leaf(spark, prose):
-    """Two templates of 60 and 40 texts, and six whose common template is a mixture that matches none of them."""
+    """Templates of one length and head: of 9 and 8 texts, of 60 and 40, and six whose most frequent tokens mix."""
+    pair = ["Please subscribe to our weekly newsletter today friends", "Please subscribe to the daily digest of readers"]
     two = ["Read more about our news from here or by post", "Read more about cats than you ever wanted to know"]
     six = [" ".join(["Sent to you", *[f"{c}{chr(97 + (k * 7 + j) % 5)}" for j in range(9)]]) for k, c in enumerate("abcdef")]
-    rows = [(k, f"{prose(5000 + k, 12)}\n{two[k >= 60]}\n{prose(6000 + k, 9)}") for k in range(100)]
-    rows += [(200 + k, f"{prose(7000 + k, 12)}\n{six[k % 6]}\n{prose(8000 + k, 9)}") for k in range(42)]
-    got = {r.doc_id: r for r in lines.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert {d for d, r in got.items() if r.n_recurring == 0} == set()
-    assert {d for d, r in got.items() if r.n_dropped == 0} == {0, 60, 200, 201, 202, 203, 204, 205}
-    assert all(sum(x in r.text.split("\n") for r in got.values()) == 1 for x in [*two, *six])
+    body = lambda k, line: f"{prose(5000 + k, 12)}\n{line}\n{prose(6000 + k, 9)}"
+    rows = [(k, body(k, two[k >= 60])) for k in range(100)] + [(200 + k, body(200 + k, six[k % 6])) for k in range(42)] + [(300 + k, body(300 + k, pair[k >= 9])) for k in range(17)]
+    got = line_report(spark, rows)
+    assert got == brute_lines(rows)
+    assert {d for d, r in got.items() if r[2] == 0} == {0, 60, 200, 201, 202, 203, 204, 205, 300, 309} and all(r[1] for r in got.values())
+    assert sum(r[2] for d, r in got.items() if 300 <= d < 309) == 8 and sum(r[2] for d, r in got.items() if d >= 309) == 7
+
+
+def test_fields_and_passages_go_and_near_copies_stay(spark, prose):
+    r = random.Random(3)
+    words = prose(1, 60).split()
+    form = lambda k: " ".join(w if j % 4 else f"{k}{j}" for j, w in enumerate(words))
+    rows = [(k, form(k)) for k in range(100)]  # one template, other numbers: no near copies
+    passages = [prose(9000 + k, 55) for k in range(6)]
+    rows += [(200 + k, "\n".join([passages[k % 6], prose(7000 + k, 30), passages[(k + 1) % 6]])) for k in range(6)]  # put together
+    base = [prose(8000 + k, 25) for k in range(12)]
+    for k in range(8):  # near copies
+        text = [x.split() for x in base]
+        for x in r.sample(text, 4):
+            x[r.randrange(3, len(x))] = f"new{chr(97 + k)}"
+        rows.append((300 + k, "\n".join(map(" ".join, text))))
+    rows += [(400, f"{prose(1234, 80)}\n{passages[0]}")]
+    got = line_report(spark, rows)
+    assert got == brute_lines(rows)
+    assert sum(got[k][2] for k in range(100)) == 99 and got[0][2] == 0
+    assert all(sum(p in g[3] for g in got.values()) == 1 for p in passages)
+    assert all(got[300 + k][2] == 0 < got[300 + k][1] for k in range(8))
 
 
-def test_line_rows(odd, none):
+def test_line_rows(spark, odd, none):
     got = lines.deduplicated(odd)
     assert got.columns == odd.columns and got.count() == odd.count()
     assert sorted(map(str, (r.text for r in got.collect()))) == sorted(map(str, (r.text for r in odd.collect())))
     assert lines.report(none).count() == lines.deduplicated(none).count() == 0
+    clash = {c: F.lit(f"own {c}") for c in ("id", "hash", "drop", "row", "lines", "split", "n", "whole", "group", "kind", "__slot")}
+    got = lines.deduplicated(odd.drop("n_words", "node").withColumns(clash))
+    assert {tuple(r[c] for c in clash) for r in got.collect()} == {tuple(f"own {c}" for c in clash)}
 
 
 def test_line_query_equals_brute_force(spark):

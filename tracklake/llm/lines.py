@@ -1,26 +1,32 @@
 """Line dedup by log templates, in DataFrame operations only.
 
 A template tree of fixed depth: a line goes to the leaf given by its number of tokens and its
-``lead`` first tokens, where a token with a digit counts as a variable field.  Leaves met in
-``min_docs`` texts or more get a template: the most frequent token at each position.  A line
-belongs to the template if it equals it at ``similar`` of its positions, variable fields among
-them; the positions where its lines differ are further variable fields.  Templates whose lines
-occur in ``min_docs`` different texts are recurring.  Of a recurring template the first line
-(least doc_id, then place) stays and all others go, so what they say is in the corpus once.
-
-A leaf can hold several templates.  Lines that miss a recurring one go through the same step
-again; lines of a leaf whose template doesn't recur, as it may be a mixture of several, are first
-parted by the place and token that most of them have.  This ends when no part has ``min_docs``
-texts.  Lines left over are then held against all later templates of their leaf.
-
-Two kinds of lines are left alone: lines of fewer than ``min_tokens`` tokens, which recur by
-nature, and lines of documents in which ``whole`` of the lines or more are recurring; such a
-document is a copy, or near to one, and is to be dealt with as a document.  Copies of a text count
-as one text, by a 64-bit hash, so a document that is merely copied has no recurring lines.
-
-What is shuffled: for every line its leaf and text hash (16 bytes), lines of frequent leaves once
-with their tokens, and the texts once to be rewritten.  A bounded table of leaf slots, broadcast,
-thins the lines before they are joined; hot leaves are summed before they are shuffled.
+``lead`` first tokens, where a token with a digit counts as a variable field.  A leaf holds as many
+templates as its lines have: a line's template is made of the ``similar`` share of its tokens that
+are the most frequent at their places in the leaf (of equally frequent ones the first), and of one
+token after the leading ones at least; the rest are variable fields.  What is constant in a kind of
+line is at least as frequent as the kind and what varies is less so, therefore lines of one kind
+come to the same template whatever else is in the leaf, in one pass and not template by template.
+
+Templates whose lines occur in enough different texts are recurring.  How many are enough follows
+from the evidence that a line holds, the number of its constant tokens: ``1 + EVIDENCE / n`` rounded
+up, so 25 texts for a single word, 9 for three words, 4 for eight and 2 from 24 on.  This holds for
+lines that are equal but for tokens with digits.  A template that also covers lines that differ
+otherwise needs ``VARIETY`` texts besides, as few lines that differ may be edits of each other.  A
+line of variable fields alone has no constant token and is no evidence of anything.  Of a
+recurring template, or line, the first (least doc_id, text hash and place) stays, in that text and
+its exact copies, and all others go, so what they say is in the corpus once.
+
+Copies of a text count as one text, by a 64-bit hash, so a document that is merely copied has no
+recurring lines.  A near copy is left alone as well, as it is to be dealt with as a document: lines
+with half of its words (of its own and of the other's) have their first line in one other text, and
+``alike`` of these words are the same there, fields included.  Documents that share each line with
+another text, or share templates but not their fields, aren't near copies and lose these lines.
+
+What is shuffled: for every line its leaf and text hash, lines of frequent leaves once with their
+tokens, for each different one of these a hash per token, and the texts once to be rewritten.  A
+bounded table of leaf slots, broadcast, thins the lines before they are joined; lines that are
+equal are one row before their tokens are counted.
 
 Nulls: a null text stays null, a null doc_id comes after all others.  Blank lines stay.
 Repeated rows are one document here and share their lines' fate.  An empty table gives no rows.
@@ -29,121 +35,142 @@ Other columns are passed on as they are.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, thinned
 
 VARIABLE = "<*>"
+#: Constant tokens, over all texts beyond the first, that show a line to be no coincidence; texts that show lines to be of one template.
+EVIDENCE, VARIETY = 24, 5
+_SPACE = " \t\n\x0b\x0c\r"
+
+
+def needed(constants: Column) -> Column:
+    """Different texts asked of a template with so many constant tokens."""
+    return F.lit(1) + F.ceil(F.lit(float(EVIDENCE)) / constants)
+
+
+def _size(tokens: Column, lead: int, similar: float) -> Column:
+    """Tokens of a template, of lines of so many tokens."""
+    return F.greatest(F.ceil(tokens * similar), F.least(tokens, F.lit(lead + 1))).cast("int")
+
+
+def _tokens(x: str) -> Column:
+    """How many tokens a text's lines have, or a line."""
+    return F.length(x) - F.length(F.translate(x, " \n", "")) + 1
+
 
+def _masked(x: Column) -> Column:
+    """Tokens with a digit as a variable field."""
+    return F.regexp_replace(x, "[^ ]*[0-9][^ ]*", VARIABLE)
 
-def lines_of(docs: DataFrame, lead: int, min_tokens: int) -> DataFrame:
-    """id, text (hash), place, line and leaf of every line with ``min_tokens`` tokens or more.
+
+def lines_of(docs: DataFrame, lead: int) -> DataFrame:
+    """id, text (hash), n (the text's words), place, line, tokens (how many) and leaf of every line.
 
     Tokens are separated by a space each.  The leaf comes from the number of spaces and the line's
     head alone, so most lines are never split.
     """
-    x = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    x = x.select("id", "text", "place", F.btrim("line").alias("line"))
-    spaces = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
-    x = x.select("*", spaces.alias("spaces")).where((F.col("spaces") >= min_tokens - 1) & (F.col("line") != ""))
-    head = F.regexp_replace(F.substring_index("line", " ", lead), "[^ ]*[0-9][^ ]*", VARIABLE)
-    return x.select("id", "text", "place", "line", F.xxhash64("spaces", head).alias("leaf"))
+    x = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("whole"))
+    x = x.select("id", F.xxhash64("whole").alias("text"), _tokens("whole").alias("n"), F.posexplode(F.split("whole", "\n")).alias("place", "line")).select("id", "text", "n", "place", F.btrim("line").alias("line"))
+    x = x.where(F.btrim("line", F.lit(_SPACE)) != "").select("*", _tokens("line").alias("tokens"))
+    return x.select("*", F.xxhash64("tokens", _masked(F.substring_index("line", " ", lead))).alias("leaf"))
+
 
+def frequent_leaves(lines: DataFrame) -> DataFrame:
+    """Leaves met in as many different texts as the least that one of their lines could need."""
+    once = lines.groupBy("leaf", "text").agg(F.first("tokens").alias("tokens")).groupBy("leaf").agg(F.count("*").alias("texts"), F.first("tokens").alias("tokens"))
+    return once.where(F.col("texts") >= needed(F.col("tokens"))).select("leaf")
 
-def _tokens(line: Column) -> Column:
-    """A line's tokens, those with a digit as a variable field."""
-    return F.transform(F.split(line, " "), lambda t: F.when(t.rlike("[0-9]"), F.lit(VARIABLE)).otherwise(t))
 
+def templates(lines: DataFrame, lead: int, similar: float) -> DataFrame:
+    """(kind, template, constants, own) for each kind of lines (kind: hash, leaf, words: masked tokens).
 
-def frequent_leaves(lines: DataFrame, min_docs: int) -> DataFrame:
-    """Leaves met in ``min_docs`` different texts or more."""
-    once = lines.groupBy("leaf", "text").agg(F.lit(1).alias("one"))
-    return once.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf")
+    ``constants``: constant tokens of the template, ``own``: those of the line itself.
+    """
+    kinds = lines.groupBy("kind").agg(F.any_value("leaf").alias("leaf"), F.any_value("words").alias("words"), F.count("*").alias("n"))
+    constant = lambda a: F.size(F.filter(a, lambda w: w != VARIABLE))
+    head, size = constant(F.slice("words", 1, lead)), F.size("words")
+    kinds = durable(kinds.select("kind", "leaf", "words", "n", constant(F.col("words")).alias("own"), head.alias("head"), (_size(size, lead, similar) - head).alias("take")).where("own > 0"), "kinds")
+    each = kinds.where("own > head").select("kind", "leaf", "n", "own", "head", "take", F.posexplode("words").alias("at", "word")).where((F.col("at") >= lead) & (F.col("word") != VARIABLE))
+    each = each.select("kind", "leaf", "n", "own", "head", "take", "at", F.xxhash64("leaf", "at", "word").alias("token"))
+    # sums are written before they are joined, so that the join can split a hot token
+    often = durable(each.groupBy("token").agg(F.sum("n").alias("times")), "tokens")
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("times")).alias("rank"), "at", "token")))
+    rows = each.join(often, "token").groupBy("kind").agg(*[F.any_value(c).alias(c) for c in ("leaf", "own", "head")], F.slice(ranked, 1, F.any_value("take")).alias("chosen"))
+    rows = rows.select("kind", F.xxhash64("leaf", F.sort_array("chosen.token")).alias("template"), (F.col("head") + F.size("chosen")).alias("constants"), "own")
+    return rows.union(kinds.where("own = head").select("kind", F.xxhash64("leaf", F.lit(VARIABLE)), "head", "own"))
 
 
-def templates(lines: DataFrame) -> DataFrame:
-    """(leaf, template, split): the most frequent token at each position.
+_AT = ("none", "id", "text", "place")
 
-    ``split`` is the place and token (at, token) that most lines of the leaf have but not all.
-    """
-    held = lines.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
-    most = held.groupBy("leaf", "at").agg(F.max_by("token", F.struct("n", "token")).alias("token"), F.max("n").alias("n"), F.sum("n").alias("all"))
-    apart = F.max_by(F.when(F.col("n") < F.col("all"), F.struct("at", "token")), F.when(F.col("n") < F.col("all"), F.struct("n", -F.col("at"))))
-    rows = most.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("xs"), apart.alias("split"))
-    return rows.select("leaf", F.col("xs.token").alias("template"), "split")
-
-
-def _fits(similar: float) -> Column:
-    """How many of a line's tokens equal the template's, where they are enough; else null."""
-    same = F.size(F.filter(F.zip_with("tokens", "template", lambda a, b: a == b), lambda equal: equal))
-    return F.when(same >= similar * F.size("tokens"), same)
-
-
-def recurring(docs: DataFrame, lead: int, min_docs: int, similar: float, min_tokens: int) -> DataFrame:
-    """(id, text, place, first): lines of recurring templates; ``first`` marks the one that stays."""
-    lines = lines_of(docs, lead, min_tokens)
-    leaves = durable(frequent_leaves(lines.select("leaf", "text"), min_docs), "leaves")
-    some = thinned(lines, "leaf", leaves, "leaf").select("id", "text", "place", "leaf", F.col("leaf").alias("top"), _tokens(F.col("line")).alias("tokens"))
-    rest = durable(some.join(leaves, "leaf"), "leaf-lines")
-    found, kinds, loose = [], [], []
-    while not found or not rest.isEmpty():
-        # sums are written before they are joined, so that the join can split a hot leaf
-        both = rest.join(durable(templates(rest), "templates"), "leaf").withColumn("fits", _fits(similar).isNotNull())
-        both = durable(both, "template-lines")
-        hits = both.where("fits")
-        often = hits.groupBy("leaf", "text").agg(F.first("top").alias("top"), F.first("template").alias("template")).groupBy("leaf")
-        often = durable(often.agg(F.count("*").alias("n"), F.first("top").alias("top"), F.first("template").alias("template")).where(F.col("n") >= min_docs), "recurring")
-        found.append(hits.join(often.select("leaf"), "leaf").select("leaf", "id", "place", "text"))
-        kinds.append(often.select("top", "leaf", "template"))
-        # lines that miss a recurring template go on together; a leaf without one is split in two
-        one = F.coalesce(F.get("tokens", F.col("split.at")) == F.col("split.token"), F.lit(False)).cast("int")
-        left = both.join(often.select("leaf", F.lit(True).alias("hit")), "leaf", "left").where("hit IS NULL OR NOT fits")
-        left = durable(left.select("id", "text", "place", F.xxhash64("leaf", F.when(F.col("hit"), 2).otherwise(one)).alias("leaf"), "top", "tokens"), "left")
-        leaves = durable(frequent_leaves(left, min_docs), "leaves")
-        loose.append(left.join(leaves, "leaf", "left_anti"))
-        rest = durable(left.join(leaves, "leaf"), "leaf-lines")
-    more = durable(reduce(DataFrame.union, kinds[1:]), "kinds") if kinds[1:] else None
-    if more is not None and not more.isEmpty():
-        # a split can part few lines from their template: they are held against all of the leaf's
-        each = reduce(DataFrame.union, loose).drop("leaf").join(more, "top").withColumn("same", _fits(similar)).where("same IS NOT NULL")
-        key = [F.col(c) for c in ("id", "text", "place")]
-        found.append(each.groupBy(*key).agg(F.max_by("leaf", F.struct("same", "leaf")).alias("leaf")).select("leaf", "id", "place", "text"))
-    found = durable(reduce(DataFrame.union, found), "found")
+
+def _recurring(lines: DataFrame, key: str, constants: str, least: int) -> DataFrame:
+    """(key, first): the keys that lines of enough different texts have, with their first line."""
     at = F.struct(F.col("id").isNull().alias("none"), "id", "text", "place")
-    least = durable(found.groupBy("leaf").agg(F.min(at).alias("least")), "least")
-    return found.join(least, "leaf").select("id", "text", "place", (at == F.col("least")).alias("first"))
+    texts = lines.groupBy(key, "text").agg(F.min(at).alias("first"), F.first(constants).alias("constants"))
+    often = texts.groupBy(key).agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.first("constants").alias("constants"))
+    return often.where((F.col("texts") >= needed(F.col("constants"))) & (F.col("texts") >= least)).select(F.col(key).alias("group"), *[F.col(f"first.{c}").alias(f"{c}_1") for c in _AT])
+
 
+def recurring(docs: DataFrame, lead: int, similar: float) -> DataFrame:
+    """(id, text, n, place, line, stays, first): lines of recurring templates, or that recur themselves.
 
-def marked(docs: DataFrame, lead: int = 3, min_docs: int = 5, similar: float = 0.6, min_tokens: int = 4, whole: float = 0.8) -> DataFrame:
-    """``docs`` with a struct ``__lines``: the text without recurring lines, and three counts.
+    ``stays`` is the line that stays, with its text (hash) and place; ``first`` marks it.
+    """
+    lines = lines_of(docs, lead)
+    leaves = durable(frequent_leaves(lines), "leaves")
+    some = thinned(lines, "leaf", leaves, "leaf").join(leaves, "leaf")
+    some = some.select("id", "text", "n", "place", "leaf", "line", F.split(_masked(F.col("line")), " ").alias("words"))
+    some = durable(some.withColumn("kind", F.xxhash64("words")), "leaf-lines")
+    each = some.select("id", "text", "n", "place", "line", "kind").join(durable(templates(some, lead, similar), "templates"), "kind")
+    each = durable(each, "template-lines")
+    by_template = durable(_recurring(each, "template", "constants", VARIETY), "recurring")
+    split = each.join(by_template.select(F.col("group").alias("template"), F.lit(True).alias("hit")), "template", "left")
+    each = durable(split.withColumn("group", F.when(F.col("hit"), F.col("template")).otherwise(F.col("kind"))), "groups")
+    by_kind = _recurring(each.where("hit IS NULL"), "kind", "own", 2)
+    found = durable(each.select("group", "id", "text", "n", "place", "line").join(durable(by_template.union(by_kind), "recurring"), "group"), "found")
+    first = (F.col("id").eqNullSafe(F.col("id_1"))) & (F.col("text") == F.col("text_1")) & (F.col("place") == F.col("place_1"))
+    stays = found.where(first).groupBy("group").agg(F.first(F.struct("text", "place", "n", "line")).alias("stays"))
+    found = found.select("group", "id", "text", "n", "place", "line").join(durable(stays, "stays"), "group")
+    return found.select("id", "text", "n", "place", "line", "stays", ((F.col("text") == F.col("stays.text")) & (F.col("place") == F.col("stays.place"))).alias("first"))
+
+
+def near_copies(found: DataFrame, alike: float) -> DataFrame:
+    """(id, text) of documents that are near copies of one other text, by their recurring lines."""
+    words = F.split("line", " ")
+    same = F.size(F.filter(F.zip_with(words, F.split("stays.line", " "), lambda a, b: a == b), lambda equal: equal))
+    x = found.where("stays.text <> text").select("id", "text", "n", F.col("stays.text").alias("other"), F.col("stays.n").alias("others"), F.size(words).alias("words"), same.alias("same"))
+    x = x.groupBy("id", "text", "n", "other", "others").agg(F.sum("words").alias("words"), F.sum("same").alias("same"))
+    return x.where((2 * F.col("words") >= F.greatest("n", "others")) & (F.col("same") >= alike * F.col("words"))).select("id", "text").distinct()
+
+
+def marked(docs: DataFrame, lead: int = 3, similar: float = 0.6, alike: float = 0.95) -> DataFrame:
+    """(row, lines): every row of ``docs``, and its text without recurring lines with three counts.
 
     text, n_lines (those that aren't blank), n_recurring and n_dropped.
     """
-    bad = recurring(docs, lead, min_docs, similar, min_tokens).groupBy("id", "text").agg(
-        F.count_distinct("place").alias("__recurring"), F.collect_set(F.when(~F.col("first"), F.col("place"))).alias("__drop")
-    )
-    bad = bad.select(F.col("id").alias("__id"), F.col("text").alias("__text"), "__recurring", "__drop")
-    x = docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__text")), "left")
+    found = durable(recurring(docs, lead, similar), "found")
+    bad = found.groupBy("id", "text").agg(F.count_distinct("place").alias("recurring"), F.collect_set(F.when(~F.col("first"), F.col("place"))).alias("drop"))
+    copies = near_copies(found, alike).select(F.col("id").alias("copy_id"), F.col("text").alias("copy"))
+    bad = bad.join(copies, F.col("id").eqNullSafe(F.col("copy_id")) & (F.col("text") == F.col("copy")), "left")
+    bad = bad.select("id", F.col("text").alias("hash"), "recurring", F.when(F.col("copy").isNull(), F.col("drop")).alias("drop"))
+    x = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("whole"))
+    x = x.join(durable(bad, "bad"), F.col("doc").eqNullSafe(F.col("id")) & (F.xxhash64("whole") == F.col("hash")), "left")
     # one column after the other: each is computed once
-    x = x.withColumn("__split", F.split("text", "\n"))
-    x = x.withColumn("__n", F.size(F.filter("__split", lambda line: line.rlike(r"[^\x20\x09-\x0D]"))))
-    x = x.withColumn("__drop", F.when(F.col("__recurring") < whole * F.col("__n"), F.col("__drop")))
-    kept = F.when(F.size("__drop") > 0, F.array_join(F.filter("__split", lambda line, k: ~F.array_contains("__drop", k)), "\n")).otherwise(F.col("text"))
-    count = lambda c: F.coalesce(c.cast("long"), F.lit(0).cast("long"))
-    counts = (count(F.col("__n")).alias("n_lines"), count(F.col("__recurring")).alias("n_recurring"), count(F.size("__drop")).alias("n_dropped"))
-    return x.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(kept.alias("text"), *counts).alias("__lines"))
+    x = x.withColumn("split", F.split("whole", "\n"))
+    x = x.withColumn("n", F.size(F.filter("split", lambda line: F.btrim(line, F.lit(_SPACE)) != "")))
+    kept = F.when(F.size("drop") > 0, F.array_join(F.filter("split", lambda line, k: ~F.array_contains("drop", k)), "\n")).otherwise(F.col("whole"))
+    count = lambda c: F.greatest(F.coalesce(c.cast("long"), F.lit(0)), F.lit(0)).cast("long")
+    return x.select("row", F.struct(kept.alias("text"), count(F.col("n")).alias("n_lines"), count(F.col("recurring")).alias("n_recurring"), count(F.size("drop")).alias("n_dropped")).alias("lines"))
 
 
 def report(docs: DataFrame, **how) -> DataFrame:
     """Rows (doc_id, n_lines, n_recurring, n_dropped, text), one for each row of ``docs``."""
-    null = F.col("__lines.text").isNull()
-    count = lambda c: F.when(null, F.lit(0)).otherwise(F.col(f"__lines.{c}")).cast("long").alias(c)
-    return marked(docs.select("doc_id", F.col("text").cast("string")), **how).select("doc_id", count("n_lines"), count("n_recurring"), count("n_dropped"), "__lines.text")
+    return marked(docs.select("doc_id", F.col("text").cast("string")), **how).select("row.doc_id", "lines.n_lines", "lines.n_recurring", "lines.n_dropped", "lines.text")
 
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with recurring lines taken out of ``text``."""
-    return marked(docs, **how).select(*[F.col("__lines.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return marked(docs, **how).select(*[F.col("lines.text").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

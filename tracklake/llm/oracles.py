@@ -11,25 +11,30 @@ reach(a, b) AS (SELECT a, b FROM sym UNION SELECT r.a, s.b FROM reach r JOIN sym
 least AS (SELECT a, min(b) AS low FROM reach GROUP BY a)"""
 
 LINES = r"""
-WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS rows FROM documents),
-each AS (SELECT doc_id, text, unnest(rows) AS line, unnest(range(len(rows))) AS place FROM docs WHERE text IS NOT NULL),
-lines AS (SELECT doc_id, text, place, list_transform(string_split(trim(line), ' '), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens FROM each),
-leaves AS (SELECT doc_id, text, place, tokens, len(tokens) AS n, list_slice(tokens, 1, 3) AS head FROM lines WHERE len(tokens) >= 4),
-frequent AS (SELECT n, head FROM leaves GROUP BY n, head HAVING count(DISTINCT text) >= 5),
-kin AS (SELECT l.* FROM leaves l JOIN frequent f ON l.n = f.n AND l.head = f.head),
-held AS (SELECT n, head, pos, token, count(*) AS times FROM (SELECT n, head, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos FROM kin) GROUP BY ALL),
-most AS (SELECT n, head, pos, token FROM (SELECT *, row_number() OVER (PARTITION BY n, head, pos ORDER BY times DESC, token DESC) AS k FROM held) WHERE k = 1),
-templates AS (SELECT n, head, list(token ORDER BY pos) AS template FROM most GROUP BY n, head),
-found AS (SELECT s.n, s.head, doc_id, text, place FROM kin s JOIN templates t ON s.n = t.n AND s.head = t.head
-    WHERE len(list_filter(list_zip(tokens, template), lambda x: x[1] = x[2])) >= 0.6::double * len(tokens)),
-often AS (SELECT n, head, min((doc_id, place)) AS least FROM found GROUP BY n, head HAVING count(DISTINCT text) >= 5),
-bad AS (SELECT doc_id, place, (doc_id, place) = least AS stays FROM found f JOIN often o ON f.n = o.n AND f.head = o.head),
-per AS (SELECT doc_id, count(DISTINCT place) AS recurring, list(DISTINCT place) FILTER (WHERE NOT stays) AS dropped FROM bad GROUP BY doc_id),
-j AS (SELECT d.doc_id, d.text, rows, coalesce(recurring, 0) AS recurring, coalesce(dropped, []) AS dropped,
-    coalesce(len(list_filter(rows, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))), 0) AS n FROM docs d LEFT JOIN per p ON d.doc_id = p.doc_id),
-k AS (SELECT *, CASE WHEN recurring < 0.8::double * n THEN dropped ELSE [] END AS gone FROM j)
+WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS rows, length(text) - length(translate(text, ' ' || chr(10), '')) + 1 AS n FROM documents),
+each AS (SELECT doc_id, text, n, trim(unnest(rows), ' ') AS line, unnest(range(len(rows))) AS place FROM docs WHERE text IS NOT NULL),
+cut AS (SELECT *, string_split(line, ' ') AS words, list_transform(string_split(line, ' '), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS masked
+    FROM each WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+lines AS (SELECT *, len(masked) AS k, list_slice(masked, 1, 3) AS head, len(list_filter(masked, lambda t: t <> '<*>')) AS own, len(list_filter(list_slice(masked, 1, 3), lambda t: t <> '<*>')) AS led FROM cut),
+kinds AS (SELECT DISTINCT masked, k, head, own, led FROM lines WHERE own > 0),
+held AS (SELECT k, head, pos, token, count(*) AS times FROM (SELECT k, head, unnest(masked) AS token, unnest(range(len(masked))) AS pos FROM lines) WHERE pos >= 3 AND token <> '<*>' GROUP BY ALL),
+spread AS (SELECT masked, k, head, own, led, unnest(masked) AS token, unnest(range(len(masked))) AS pos FROM kinds),
+ranked AS (SELECT s.*, row_number() OVER (PARTITION BY masked ORDER BY times DESC, s.pos) AS rank FROM spread s JOIN held h ON s.k = h.k AND s.head = h.head AND s.pos = h.pos AND s.token = h.token),
+chosen AS (SELECT masked, list((pos, token) ORDER BY pos) AS picked FROM ranked WHERE rank <= greatest(ceil(k * 0.6::double), least(k, 4)) - led GROUP BY masked),
+shapes AS (SELECT ki.masked, ki.k, ki.head, ki.own, ki.led + coalesce(len(picked), 0) AS constants, picked FROM kinds ki LEFT JOIN chosen c ON ki.masked = c.masked),
+seen AS (SELECT l.doc_id, l.text, l.n, l.place, l.line, l.words, l.masked, s.own, s.constants, (s.k, s.head, s.picked)::varchar AS template FROM lines l JOIN shapes s ON l.masked = s.masked),
+common AS (SELECT template AS grp, min((doc_id, place)) AS spot FROM seen GROUP BY template HAVING count(DISTINCT text) >= greatest(5, 1 + ceil(24.0::double / min(constants)))),
+alone AS (SELECT s.masked::varchar AS grp, min((doc_id, place)) AS spot FROM seen s LEFT JOIN common c ON s.template = c.grp WHERE c.grp IS NULL GROUP BY s.masked HAVING count(DISTINCT text) >= greatest(2, 1 + ceil(24.0::double / min(own)))),
+found AS (SELECT s.*, c.grp, c.spot FROM seen s JOIN common c ON s.template = c.grp UNION ALL SELECT s.*, a.grp, a.spot FROM seen s JOIN alone a ON s.masked::varchar = a.grp WHERE s.template NOT IN (SELECT grp FROM common)),
+one AS (SELECT grp, text AS text1, place AS place1, n AS n1, words AS words1 FROM found WHERE (doc_id, place) = spot),
+marked AS (SELECT f.*, o.text1, o.n1, o.words1, f.text = o.text1 AND f.place = o.place1 AS stays FROM found f JOIN one o ON f.grp = o.grp),
+near AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, n, n1, sum(len(words)) AS total, sum(len(list_filter(list_zip(words, words1), lambda x: x[1] = x[2]))) AS same FROM marked WHERE text <> text1 GROUP BY doc_id, n, text1, n1)
+    WHERE 2 * total >= greatest(n, n1) AND same >= 0.95::double * total),
+per AS (SELECT doc_id, count(DISTINCT place) AS recurring, list(DISTINCT place) FILTER (WHERE NOT stays) AS dropped FROM marked GROUP BY doc_id),
+j AS (SELECT d.doc_id, d.text, rows, coalesce(recurring, 0) AS recurring, CASE WHEN d.doc_id IN (SELECT doc_id FROM near) THEN [] ELSE coalesce(dropped, []) END AS gone,
+    coalesce(len(list_filter(rows, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))), 0) AS n FROM docs d LEFT JOIN per p ON d.doc_id = p.doc_id)
 SELECT doc_id, n::bigint AS n_lines, recurring::bigint AS n_recurring, len(gone)::bigint AS n_dropped,
-    CASE WHEN len(gone) = 0 THEN text ELSE array_to_string(list_transform(list_filter(range(len(rows)), lambda i: NOT list_contains(gone, i)), lambda i: rows[i + 1]), chr(10)) END AS text FROM k"""
+    CASE WHEN len(gone) = 0 THEN text ELSE array_to_string(list_transform(list_filter(range(len(rows)), lambda i: NOT list_contains(gone, i)), lambda i: rows[i + 1]), chr(10)) END AS text FROM j"""
 
 
 def _quality() -> str:
