@@ -108,6 +108,9 @@ def test_quality_verdicts(spark, odd, none):
     kept = quality.keep_good(odd)
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} >= {1, 2, None, 11} and kept.count() == sum(r.kept for r in got)
     assert quality.judged(none).count() == quality.keep_good(none).count() == 0
+    clash = {c: F.lit(f"own {c}") for c in ("row", "q", "n_upper", "max_word_length", "of_lang", "base_failed", "__q", "kept")}
+    got = quality.keep_good(odd.withColumns(clash))
+    assert got.count() == kept.count() and {tuple(r[c] for c in clash) for r in got.collect()} == {tuple(f"own {c}" for c in clash)}
 
 
 def test_quality_fences_adapt(spark, prose):
@@ -120,6 +123,35 @@ def test_quality_fences_adapt(spark, prose):
     assert sorted(map(str, whole.collect())) == sorted(map(str, parts.collect()))
 
 
+def test_no_fixed_cutoffs_give_the_verdicts(spark, prose):
+    """The same texts pass in a source where they are usual and fail in another, for several signals."""
+    marks, upper = lambda k: prose(k).replace(" ", "* ", 12), lambda k: " ".join(w.upper() if j % 4 == 0 else w for j, w in enumerate(prose(k).split()))
+    rows, at = [], {}
+    for source, usual in (("plain", prose), ("marks", marks), ("upper", upper)):
+        texts = [usual(1000 + k) for k in range(120)] + [marks(k) for k in range(3)] + [upper(10 + k) for k in range(3)]
+        for k, t in enumerate(texts):
+            at[len(rows)] = source, k
+            rows.append((len(rows), t, "en", source))
+    kept = {at[r.doc_id]: r.kept for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(kept[s, k] for s in ("plain", "marks", "upper") for k in range(120))
+    for k in range(3):
+        assert (kept["plain", 120 + k], kept["marks", 120 + k], kept["upper", 120 + k]) == (False, True, False)
+        assert (kept["plain", 123 + k], kept["marks", 123 + k], kept["upper", 123 + k]) == (False, False, True)
+
+
+def test_fences_differ_by_group_and_keep_what_is_labelled_good(spark):
+    d = "/root/testdata/sf0.1"
+    c = quality.counts(spark.read.parquet(f"{d}/documents.parquet")).cache()
+    fences = quality.fences(quality.sketches(c)).collect()
+    each = Counter((s, round(r[f"max_{s}"], 6)) for r in fences for s in quality.SIGNALS)
+    assert len(fences) == 80 and max(each.values()) <= 8 and len(each) >= 360  # few are equal, so none is a constant
+    got = {r.doc_id: (r.kept, r.base_failed) for r in quality.judged(spark.read.parquet(f"{d}/documents.parquet")).collect()}
+    for r in spark.read.parquet(f"{d}/labels.parquet").collect():
+        kept, failed = got[r.doc_id]
+        assert failed or kept == (r.quality == 1)
+    c.unpersist()
+
+
 # --- 8 ---
 
 

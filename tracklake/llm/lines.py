@@ -43,7 +43,8 @@ from .common import durable, thinned
 VARIABLE = "<*>"
 #: Constant tokens, over all texts beyond the first, that show a line to be no coincidence; texts that show lines to be of one template.
 EVIDENCE, VARIETY = 24, 5
-_SPACE = " \t\n\x0b\x0c\r"
+#: A character that isn't white space.
+_FULL = r"[^\x20\x09-\x0D]"
 
 
 def needed(constants: Column) -> Column:
@@ -58,12 +59,12 @@ def _size(tokens: Column, lead: int, similar: float) -> Column:
 
 def _tokens(x: str) -> Column:
     """How many tokens a text's lines have, or a line."""
-    return F.length(x) - F.length(F.translate(x, " \n", "")) + 1
+    return F.length(x) - F.length(F.replace(F.replace(x, F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))) + 1
 
 
 def _masked(x: Column) -> Column:
     """Tokens with a digit as a variable field."""
-    return F.regexp_replace(x, "[^ ]*[0-9][^ ]*", VARIABLE)
+    return F.when(x.rlike("[0-9]"), F.regexp_replace(x, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", VARIABLE)).otherwise(x)
 
 
 def lines_of(docs: DataFrame, lead: int) -> DataFrame:
@@ -74,7 +75,7 @@ def lines_of(docs: DataFrame, lead: int) -> DataFrame:
     """
     x = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("whole"))
     x = x.select("id", F.xxhash64("whole").alias("text"), _tokens("whole").alias("n"), F.posexplode(F.split("whole", "\n")).alias("place", "line")).select("id", "text", "n", "place", F.btrim("line").alias("line"))
-    x = x.where(F.btrim("line", F.lit(_SPACE)) != "").select("*", _tokens("line").alias("tokens"))
+    x = x.where(F.col("line").rlike(_FULL)).select("*", _tokens("line").alias("tokens"))
     return x.select("*", F.xxhash64("tokens", _masked(F.substring_index("line", " ", lead))).alias("leaf"))
 
 
@@ -160,7 +161,7 @@ def marked(docs: DataFrame, lead: int = 3, similar: float = 0.6, alike: float =
     x = x.join(durable(bad, "bad"), F.col("doc").eqNullSafe(F.col("id")) & (F.xxhash64("whole") == F.col("hash")), "left")
     # one column after the other: each is computed once
     x = x.withColumn("split", F.split("whole", "\n"))
-    x = x.withColumn("n", F.size(F.filter("split", lambda line: F.btrim(line, F.lit(_SPACE)) != "")))
+    x = x.withColumn("n", F.size(F.filter("split", lambda line: line.rlike(_FULL))))
     kept = F.when(F.size("drop") > 0, F.array_join(F.filter("split", lambda line, k: ~F.array_contains("drop", k)), "\n")).otherwise(F.col("whole"))
     count = lambda c: F.greatest(F.coalesce(c.cast("long"), F.lit(0)), F.lit(0)).cast("long")
     return x.select("row", F.struct(kept.alias("text"), count(F.col("n")).alias("n_lines"), count(F.col("recurring")).alias("n_recurring"), count(F.size("drop")).alias("n_dropped")).alias("lines"))

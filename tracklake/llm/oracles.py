@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from . import quality
-
 _SPACE = r"'[\x20\x09-\x0D]+'"
 _WORDS = f"list_filter(string_split_regex({{}}, {_SPACE}), lambda x: x <> '')"
 _COMPONENTS = """
@@ -38,11 +36,14 @@ SELECT doc_id, n::bigint AS n_lines, recurring::bigint AS n_recurring, len(gone)
 
 
 def _quality() -> str:
-    gamma = f"{quality.GAMMA}::double"
-    share = {s: f"CASE WHEN {b} > 0 THEN {a}::double / {b} ELSE 0.0::double END" for s, (a, b, _) in quality.SIGNALS.items()}
-    rows = " UNION ALL ".join(f"SELECT lang, source, '{s}' AS signal, {x} AS x FROM c WHERE n_words > 0" for s, x in share.items())
-    floor = "CASE signal " + " ".join(f"WHEN '{s}' THEN {f}::double" for s, (_, _, f) in quality.SIGNALS.items()) + " END"
-    over = "coalesce(bool_or(CASE signal " + " ".join(f"WHEN '{s}' THEN {x} > fence" for s, x in share.items()) + " END), false)"
+    # signal, count, size, what one occurrence counts for: stated here anew, as are all constants below
+    signals = (("symbols", "n_symbols", "n_words", 1), ("lines", "n_dup_lines", "n_lines", 1), ("repeats", "n_repeat_words", "n_words", 6), ("upper", "n_upper", "word_chars", 1), ("length", "word_chars", "n_words", 1))
+    rows = " UNION ALL ".join(f"SELECT lang, source, '{s}' AS signal, CASE WHEN {b} > 0 THEN {a}::double / {b} ELSE 0.0::double END AS x FROM ok" for s, a, b, _ in signals)
+    rows += "".join(f" UNION ALL SELECT lang, source, '{c}', {c}::double FROM ok" for c in ("n_words", "n_lines", "word_chars"))
+    unit = "CASE r.signal " + " ".join(f"WHEN '{s}' THEN {u}.0::double / (SELECT any_value(m.median) FROM mid m WHERE m.level = r.level AND m.lang IS NOT DISTINCT FROM r.lang AND m.source IS NOT DISTINCT FROM r.source AND m.signal = '{b}')" for s, _, b, u in signals) + " END"
+    over = "coalesce(bool_or(CASE signal " + " ".join(f"WHEN '{s}' THEN {a} > fence * {b} + {2 * u}.0::double" for s, a, b, u in signals) + " END), false)"
+    names = ", ".join(f"'{s[0]}'" for s in signals)
+    failed = "(n_words < 50 OR 100 * n_repeat_words > 50 * n_words)"
     return rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w, string_split(coalesce(text, ''), chr(10)) AS rows FROM documents),
 t AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
@@ -54,15 +55,22 @@ lines AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE k > 1) AS dup FRO
 c AS (SELECT d.doc_id, lang, source, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
     coalesce(lines.dup, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, coalesce(lines.n, 0) AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper
     FROM d LEFT JOIN covered ON d.doc_id = covered.doc_id LEFT JOIN lines ON d.doc_id = lines.doc_id),
-b AS (SELECT lang, source, signal, CASE WHEN x <= 0.000001::double THEN 0 ELSE ceil(ln(x * 1000000.0::double) / ln({gamma}))::int END AS bucket, count(*) AS n FROM ({rows}) GROUP BY ALL),
-r AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, signal) AS total, sum(n) OVER (PARTITION BY lang, source, signal ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS upto,
-    CASE WHEN bucket = 0 THEN 0.0::double ELSE pow({gamma}, bucket - 0.5::double) / 1000000.0::double END AS v FROM b),
-q AS (SELECT lang, source, signal, min(v) FILTER (WHERE upto >= total * 0.25::double) AS q1, min(v) FILTER (WHERE upto >= total * 0.75::double) AS q3 FROM r GROUP BY ALL),
-f AS (SELECT lang, source, signal, greatest(q3 + 3.0::double * (q3 - q1), {floor}) AS fence FROM q),
+ok AS (SELECT * FROM c WHERE NOT {failed}),
+x AS ({rows}),
+leveled AS (SELECT 0 AS level, lang, source, signal, x FROM x UNION ALL SELECT 1, lang, NULL, signal, x FROM x UNION ALL SELECT 2, NULL, NULL, signal, x FROM x),
+b AS (SELECT level, lang, source, signal, CASE WHEN x <= 0.000001::double THEN 0 ELSE ceil(ln(x * 1000000.0::double) / ln(1.02::double))::int END AS bucket, count(*) AS n FROM leveled GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, signal)::bigint AS total, sum(n) OVER (PARTITION BY level, lang, source, signal ORDER BY bucket ROWS UNBOUNDED PRECEDING)::bigint AS upto,
+    CASE WHEN bucket = 0 THEN 0.0::double ELSE pow(1.02::double, bucket - 0.5::double) / 1000000.0::double END AS v FROM b),
+mid AS (SELECT level, lang, source, signal, min(v) FILTER (WHERE 2 * upto >= total) AS median FROM r GROUP BY ALL),
+stops AS (SELECT r.*, m.median, {unit} AS unit FROM r JOIN mid m ON r.level = m.level AND r.lang IS NOT DISTINCT FROM m.lang AND r.source IS NOT DISTINCT FROM m.source AND r.signal = m.signal
+    WHERE r.signal IN ({names}) AND v >= m.median AND 200 * upto // total > 200 * (upto - n) // total AND 200 * (upto - n) // total < 199),
+reached AS (SELECT *, median + 2.0::double * (v - median + unit + v * (1.02::double - 1.0::double)) AS reach, lead(v) OVER (PARTITION BY level, lang, source, signal ORDER BY bucket) AS next FROM stops),
+own AS (SELECT level, lang, source, signal, max(total) AS n, min(reach) AS f FROM reached WHERE next IS NULL OR next > reach GROUP BY ALL),
+fence AS (SELECT g.lang, g.source, g.signal, (g.n * g.f + 20 * ((l.n * l.f + 20 * a.f) / (l.n + 20))) / (g.n + 20) AS fence FROM own g JOIN own l ON l.level = 1 AND l.lang IS NOT DISTINCT FROM g.lang AND l.signal = g.signal
+    JOIN own a ON a.level = 2 AND a.signal = g.signal WHERE g.level = 0),
 v AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, {over} AS far
-    FROM c LEFT JOIN f ON c.lang IS NOT DISTINCT FROM f.lang AND c.source IS NOT DISTINCT FROM f.source GROUP BY ALL)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT far AS kept FROM v"""
+    FROM c LEFT JOIN fence f ON c.lang IS NOT DISTINCT FROM f.lang AND c.source IS NOT DISTINCT FROM f.source GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} AS base_failed, NOT {failed} AND NOT far AS kept FROM v"""
 
 
 NEAR = f"""

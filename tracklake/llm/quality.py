@@ -1,9 +1,22 @@
 """Quality rules with thresholds that adapt to each language and source.
 
-Per document, exact counts are made in one Arrow pass.  Per language and source, each signal goes
-into a log-bucket quantile sketch: counts per bucket of relative width 2 %, so two sketches merge
-by adding counts and the result doesn't depend on how rows were dealt out.  Fences are read from
-the sketches and joined back to the documents.
+Per document, exact counts are made in one Arrow pass.  Of the documents that pass the base rule,
+each signal goes into a log-bucket quantile sketch of its language and source: counts per bucket of
+relative width 2 %, so two sketches merge by adding counts and the result doesn't depend on how rows
+were dealt out.  Sketches of a language, and of all documents, are merged from those of the groups.
+
+A fence comes from its sketch alone; there is no fixed cutoff.  From the median up the sketch's
+quantiles are walked in steps of 1/``STEPS``.  While the next one is at most ``1 + spread`` times as
+far from the median as the last, it belongs to the bulk; a wider gap ends the bulk.  The fence is as
+far from the median as the next quantile could have been.  So what is usual in a source passes
+there, whatever it is, and what stands apart from it doesn't; junk that is a few per cent of a group
+doesn't move its fence.  As no step can be finer than the counts, each is widened by the sketch's
+bucket and by ``UNITS``, what one occurrence counts for, in a document of the group's median size.
+Fences of small groups lean on their language's, and these on that of all, as if ``PRIOR`` documents
+of the parent were in the group.
+
+A document is rejected where a count lies above the fence times its size by more than chance, again
+``1 + spread`` occurrences.
 
 Nulls: a null text has no words and fails the base rule; null languages and sources form groups of
 their own; a null doc_id stays as a row.  Repeated rows each get a row.  Columns of the input
@@ -16,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,15 +39,19 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 SYMBOLS = b"#*$%&|<>"
 #: Width of a sketch bucket: values in one differ by 2 % at most.
 GAMMA = 1.02
-#: signal: (numerator, denominator, least value of the upper fence). A fence never falls below
-#: that value, so a uniform group doesn't reject what is merely uncommon.
+#: signal: (numerator, denominator)
 SIGNALS = {
-    "symbol_share": ("n_symbols", "n_words", 0.25),
-    "dup_line_share": ("n_dup_lines", "n_lines", 0.45),
-    "repeat_share": ("n_repeat_words", "n_words", 0.3),
-    "upper_share": ("n_upper", "word_chars", 0.3),
-    "word_length": ("word_chars", "n_words", 12.0),
+    "symbol_share": ("n_symbols", "n_words"),
+    "dup_line_share": ("n_dup_lines", "n_lines"),
+    "repeat_share": ("n_repeat_words", "n_words"),
+    "upper_share": ("n_upper", "word_chars"),
+    "word_length": ("word_chars", "n_words"),
 }
+#: What one occurrence adds to a signal's numerator: a repeated window of three words covers six.
+UNITS = {s: 6 if s == "repeat_share" else 1 for s in SIGNALS}
+SIZES = sorted({under for _, under in SIGNALS.values()})
+#: Quantiles of a walk; documents of the parent that a group's fence leans on.
+STEPS, PRIOR = 200, 20
 #: Groups beyond this many are joined by shuffle, not broadcast.
 BROADCAST_GROUPS = 20_000
 
@@ -89,18 +106,22 @@ def counts_of(text: str | None) -> tuple[int, ...]:
     return len(words), chars, int(_SYMBOL[flat].sum()), dup, repeat, full, int(_UPPER[flat].sum())
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memory_of("quality")
-    for b in batches:
-        rows = [counts_of(x.as_py()) for x in b.column("text")]
-        made = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * len(COUNTS), COUNTS)
-        yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*b.schema.names, "__q"])
+def _count_batches(at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory_of("quality")
+        for b in batches:
+            rows = [counts_of(x.as_py()) for x in b.column("row").field(at)]
+            made = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * len(COUNTS), COUNTS)
+            yield pa.RecordBatch.from_arrays([b.column("row"), made], names=["row", "q"])
+
+    return run
 
 
 def with_counts(docs: DataFrame) -> DataFrame:
-    """``docs`` with a struct ``__q`` of exact counts of every whole text."""
-    q = T.StructField("__q", T.StructType([T.StructField(x, T.LongType()) for x in COUNTS]))
-    return docs.mapInArrow(_count_batches, T.StructType([*docs.schema.fields, q]))
+    """(row, q): every row of ``docs``, with a struct of exact counts of its whole text."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    q = T.StructField("q", T.StructType([T.StructField(x, T.LongType()) for x in COUNTS]))
+    return rows.mapInArrow(_count_batches(docs.columns.index("text")), T.StructType([*rows.schema.fields, q]))
 
 
 def _needed(docs: DataFrame) -> DataFrame:
@@ -110,23 +131,28 @@ def _needed(docs: DataFrame) -> DataFrame:
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    return with_counts(_needed(docs)).select("doc_id", "lang", "source", "__q.*")
+    return with_counts(_needed(docs)).select("row.doc_id", "row.lang", "row.source", "q.*")
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def _share(name: str):
-    over, under, _ = SIGNALS[name]
+def _share(name: str) -> Column:
+    over, under = SIGNALS[name]
     return F.when(F.col(under) > 0, F.col(over) / F.col(under)).otherwise(F.lit(0.0))
 
 
 def sketches(counted: DataFrame) -> DataFrame:
-    """One sketch per lang, source and signal, as rows (lang, source, signal, bucket, n).
+    """One sketch per lang, source and signal (or size), as rows (lang, source, signal, bucket, n).
 
     Bucket 0 holds zeros, bucket b > 0 the values in (GAMMA**(b-1), GAMMA**b] millionths. Merge
     sketches with :func:`merge`: union, then add up.
     """
     bucket = lambda x: F.when(x <= 1e-6, F.lit(0)).otherwise(F.ceil(F.log(x * 1e6) / F.log(F.lit(GAMMA)))).cast("int")
-    each = F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), bucket(_share(s)).alias("bucket")) for s in SIGNALS]))
-    rows = counted.where("n_words > 0").select("lang", "source", each.alias("x")).select("lang", "source", "x.signal", "x.bucket")
+    values = {s: _share(s) for s in SIGNALS} | {c: F.col(c).cast("double") for c in SIZES}
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), bucket(x).alias("bucket")) for s, x in values.items()]))
+    rows = counted.where(~base_failed()).select("lang", "source", each.alias("x")).select("lang", "source", "x.signal", "x.bucket")
     return rows.groupBy("lang", "source", "signal", "bucket").agg(F.count("*").alias("n"))
 
 
@@ -137,53 +163,63 @@ def merge(*parts: DataFrame) -> DataFrame:
     return out.groupBy("lang", "source", "signal", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(sketch: DataFrame, spread: float = 3.0) -> DataFrame:
-    """Per lang and source one row with an upper fence for each signal.
-
-    A fence is the upper quartile plus ``spread`` times the distance from the lower to the upper
-    quartile, at least the signal's floor.  The windows run over a sketch's buckets, of which
-    there are at most some thousands whatever the number of documents.
-    """
-    key = ["lang", "source", "signal"]
-    w = Window.partitionBy(*key)
-    run = w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = sketch.withColumn("total", F.sum("n").over(w)).withColumn("upto", F.sum("n").over(run))
-    value = F.when(F.col("bucket") == 0, F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), F.col("bucket") - 0.5) / 1e6)
-    at = lambda q: F.min(F.when(F.col("upto") >= F.col("total") * q, value))
-    q = x.groupBy(*key).agg(at(0.25).alias("q1"), at(0.75).alias("q3"))
-    floor = F.create_map(*[F.lit(v) for s, (_, _, f) in SIGNALS.items() for v in (s, float(f))])
-    q = q.withColumn("fence", F.greatest(F.col("q3") + spread * (F.col("q3") - F.col("q1")), floor[F.col("signal")]))
-    return q.groupBy("lang", "source").agg(*[F.max(F.when(F.col("signal") == s, F.col("fence"))).alias(f"max_{s}") for s in SIGNALS])
-
-
-def _fenced(docs: DataFrame, fence: DataFrame) -> DataFrame:
+def _walked(sketch: DataFrame, spread: float) -> DataFrame:
+    """(level, lang, source, signal, n, own): the fence of every sketch of a group (level 0), a language (1) and all (2)."""
+    null = F.lit(None).cast("string")
+    levels = [F.struct(F.lit(k).alias("level"), lang.alias("lang"), source.alias("source")) for k, (lang, source) in enumerate(((F.col("lang"), F.col("source")), (F.col("lang"), null), (null, null)))]
+    x = sketch.select(F.explode(F.array(*levels)).alias("of"), "signal", "bucket", "n").groupBy("of.level", "of.lang", "of.source", "signal", "bucket").agg(F.sum("n").alias("n"))
+    # a window runs over a group's buckets, of which there are some thousands at most whatever the number of documents
+    group = Window.partitionBy("level", "lang", "source")
+    one = Window.partitionBy("level", "lang", "source", "signal")
+    x = x.withColumn("total", F.sum("n").over(one)).withColumn("upto", F.sum("n").over(one.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    x = x.withColumn("value", F.when(F.col("bucket") == 0, F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), F.col("bucket") - 0.5) / 1e6))
+    x = x.withColumn("median", F.min(F.when(2 * F.col("upto") >= F.col("total"), F.col("value"))).over(one))
+    x = x.withColumns({c: F.max(F.when(F.col("signal") == c, F.col("median"))).over(group) for c in SIZES})
+    unit = F.coalesce(*[F.when(F.col("signal") == s, F.lit(float(UNITS[s])) / F.col(under)) for s, (_, under) in SIGNALS.items()])
+    step = lambda n: F.floor(STEPS * n / F.col("total"))
+    before = F.col("upto") - F.col("n")
+    stops = x.where(F.col("signal").isin(*SIGNALS) & (F.col("value") >= F.col("median")) & (step(F.col("upto")) > step(before)) & (step(before) < STEPS - 1))
+    stops = stops.withColumn("reach", F.col("median") + (1 + spread) * (F.col("value") - F.col("median") + unit + F.col("value") * (GAMMA - 1)))
+    ends = F.coalesce(F.lead("value").over(one.orderBy("bucket")) > F.col("reach"), F.lit(True))
+    return stops.withColumn("ends", ends).where("ends").groupBy("level", "lang", "source", "signal").agg(F.max("total").alias("n"), F.min("reach").alias("own"))
+
+
+def fences(sketch: DataFrame, spread: float = 1.0) -> DataFrame:
+    """Per lang and source one row with an upper fence for each signal."""
+    x = durable(_walked(sketch, spread), "quality-walks")
+    at = lambda k: x.where(F.col("level") == k).select(F.col("lang").alias(f"lang{k}"), F.col("signal").alias(f"signal{k}"), F.col("n").alias(f"n{k}"), F.col("own").alias(f"own{k}"))
+    leant = lambda n, own, parent: (F.col(n) * F.col(own) + PRIOR * parent) / (F.col(n) + PRIOR)
+    j = x.where("level = 0").join(at(1), F.col("lang").eqNullSafe(F.col("lang1")) & (F.col("signal") == F.col("signal1"))).join(at(2), F.col("signal") == F.col("signal2"))
+    j = j.withColumn("fence", leant("n", "own", leant("n1", "own1", F.col("own2"))))
+    return j.groupBy("lang", "source").agg(*[F.max(F.when(F.col("signal") == s, F.col("fence"))).alias(f"max_{s}") for s in SIGNALS])
+
+
+def _fenced(docs: DataFrame, fence: DataFrame, spread: float) -> DataFrame:
     """``docs`` (lang, source and counts) with ``base_failed`` and ``kept``."""
     small = fence.count() <= BROADCAST_GROUPS  # a row is under 150 bytes
-    f = fence.select(F.col("lang").alias("__l"), F.col("source").alias("__s"), *[F.col(f"max_{s}").alias(f"__max_{s}") for s in SIGNALS])
-    j = docs.join(F.broadcast(f) if small else f, F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__s")), "left")
+    f = fence.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), *[f"max_{s}" for s in SIGNALS])
+    j = docs.join(F.broadcast(f) if small else f, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left")
     over = F.lit(False)
-    for s in SIGNALS:
-        over = over | F.coalesce(_share(s) > F.col(f"__max_{s}"), F.lit(False))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return j.withColumn("base_failed", failed).withColumn("kept", ~failed & ~over).drop("__l", "__s", *[f"__max_{s}" for s in SIGNALS])
+    for s, (count, size) in SIGNALS.items():
+        over = over | F.coalesce(F.col(count) > F.col(f"max_{s}") * F.col(size) + (1 + spread) * UNITS[s], F.lit(False))
+    return j.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~over).drop("of_lang", "of_source", *[f"max_{s}" for s in SIGNALS])
 
 
-def judged(docs: DataFrame, spread: float = 3.0) -> DataFrame:
+def judged(docs: DataFrame, spread: float = 1.0) -> DataFrame:
     """Every document's doc_id, lang, source and counts, with ``base_failed`` and ``kept``.
 
     ``kept`` is false where the base rule fails or a signal lies above the fence of the
     document's language and source.
     """
     c = durable(counts(docs), "quality-counts")
-    return _fenced(c, durable(fences(sketches(c), spread), "quality-fences"))
+    return _fenced(c, durable(fences(sketches(c), spread), "quality-fences"), spread)
 
 
-def keep_good(docs: DataFrame, spread: float = 3.0) -> DataFrame:
+def keep_good(docs: DataFrame, spread: float = 1.0) -> DataFrame:
     """The documents that pass, with the columns they came with.
 
     Texts are read twice, once for the sketches and once to filter, and never shuffled.
     """
     fence = durable(fences(sketches(counts(docs)), spread), "quality-fences")
-    texts = docs if {"lang", "source"} <= set(docs.columns) else docs.withColumns({c: F.lit(None).cast("string") for c in ("lang", "source") if c not in docs.columns})
-    x = with_counts(texts).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "__q.*")
-    return _fenced(x, fence).where("kept").select("__row.*")
+    group = [(F.col(f"row.{c}") if c in docs.columns else F.lit(None)).cast("string").alias(c) for c in ("lang", "source")]
+    return _fenced(with_counts(docs).select("row", *group, "q.*"), fence, spread).where("kept").select("row.*")
