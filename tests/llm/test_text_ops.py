@@ -64,6 +64,66 @@ def test_articles_that_are_not_the_article():
     assert html.main_text(f'<div class="comments-open"><main>{body}</main></div>{body}').split("\n") == [*want, *want]
 
 
+PROSE = {
+    "en": "The committee that had been asked to look into the matter was of the opinion that it would take years, and that nobody in the town would wait for it. ",
+    "de": "Nebelschwaden ziehen langsam durch enge Gassen, Laternen flackern, Schritte hallen zwischen alten Mauern, irgendwo schlägt gerade dumpf eine Glocke. ",
+    "it": "Nebbia lenta scende tra vicoli stretti, lampioni tremano, passi risuonano tra mura antiche, da qualche parte batte sorda una campana. ",
+    "pl": "Mgła powoli schodzi wąskimi uliczkami, migoczą latarnie, kroki dudnią między starymi murami, gdzieś głucho bije właśnie dzwon. ",
+}
+
+
+def test_tags_as_the_standard_reads_them():
+    read = html.main_text
+    assert read("<article><p title=it's>one two three</p><p>more..</p></article>") == "one two three\nmore.."
+    assert read('<article><p>one</p><p title="a" b">two</p><p>three</article>') == "one\ntwo\nthree"
+    assert read("<article><p a=1'2\"3>one</p><p 'x'=\"y>z\">two</p><p title='a>b'>three<p =x>four<p a= >five</article>") == "one\ntwo\nthree\nfour\nfive"
+    assert read('<article><p title="never closed>one</p><p>two</p></article>') == "one\ntwo"
+    assert read("<html><head><title>t</title><body><article><p>no end of the head</article>") == "no end of the head"
+    assert read("<article><p>one<svg width=1><p>two</article>") == "one\ntwo"
+
+
+def test_words_in_a_class_are_evidence():
+    read, p = html.main_text, (PROSE["en"] * 2).strip()
+    for mark in ('class="social-history"', 'class="related-work"', 'id="search"', 'id="login"', 'id="comparison"', 'class="alert-fatigue"'):
+        assert read(f"<article><h1>Title</h1><p>{p}</p><section {mark}><h2>A heading</h2><p>{p}</p></section></article>").split("\n") == ["Title", p, "A heading", p], mark
+    for mark in ('class="comments"', 'class="social-share"', 'class="related-posts"', 'class="notice"', 'id="ad-slot-3"', 'class="cookieBanner"', 'class="newsletter-signup"', 'role="search"', 'class="commentThread x"'):
+        assert read(f"<article><h1>Title</h1><p>{p}</p><div {mark}><p>{p}</p></div><p>It is short.</p></article>").split("\n") == ["Title", p, "It is short."], mark
+        assert read(f"<div><h1>Title</h1><p>{p}</p><p>{p}</p><div {mark}><p>{p}</p></div></div>").split("\n") == ["Title", p, p], mark
+    # around the page's text a word says nothing, but comments stay comments
+    assert read(f'<div class="page ad-free"><h1>Title</h1><p>{p}</p></div><div class="sidebar">{p[:90]}</div>').split("\n") == ["Title", p]
+    assert read(f'<form id="all"><h1>Title</h1><p>{p}</p></form>').split("\n") == ["Title", p]
+    assert read(f'<p>{p}</p><div class="comments"><p>{p}</p><p>{p}</p><p>{p}</p></div>') == p
+
+
+def test_links_are_evidence():
+    read, p = html.main_text, (PROSE["en"] * 2).strip()
+    linked = f'As <a href="1">{p[:90]}</a> and <a href="2">{p[90:]}</a> say.'
+    got = read(f"<article><h2><a href=x>A linked heading</a></h2><p>{p}</p><p>{linked}</p><p>{p}</p><ul><li><a href=1>more</a></li><li><a href=2>of it</a></li></ul></article>").split("\n")
+    assert got[0] == "A linked heading" and len(got) == 4 and got[2].startswith("As The committee")
+    menu = "".join(f'<div><a href="{k}">Section {k}</a></div>' for k in range(9))
+    assert read(f"{menu}<div>{p}</div>{menu}") == p
+
+
+@pytest.mark.parametrize("lang", sorted(PROSE))
+def test_pages_without_an_article(lang):
+    p = (PROSE[lang] * 2).strip()
+    head, middle = p[:40].strip(), p[:110].strip()
+    menu = "".join(f'<li><a href="{k}">Menu {k}</a></li>' for k in range(5))
+    page = f'<div id="top"><ul>{menu}</ul></div><div><h1>{head}</h1><div>{p}</div><div>{middle}</div><div>{p}</div></div><div><a href=1>About</a> <a href=2>Imprint</a></div>'
+    assert html.main_text(page).split("\n") == [head, p, middle, p]
+    assert html.main_text(f"<p>{p}</p>") == p
+
+
+def test_the_two_passes_decide_blocks(spark):
+    """On the driver's pages both passes have a say, and density, length and links are what they go by."""
+    first = second = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        _, labels = html.first_pass(html.cut(r.html))
+        first += sum(x is not None for x in labels)
+        second += sum(x is None for x in labels)
+    assert first > 1000 and second > 200
+
+
 def test_pages_equal_a_plain_reading(spark):
     """The driver's pages have one article of h1 and p; a regular expression reads it."""
 

@@ -1,13 +1,19 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks at block-level tags.  Blocks inside elements that never hold the article
-(menus, page headers and footers, sidebars, notices, adverts, forms, reader comments; by tag, role
-or class) leave first.  Pass one labels each block by length, link density and stop-word density,
-more readily good inside an ``article`` or ``main`` element.  Short and middling blocks stay
-undecided; pass two gives them the label of their nearest decided neighbours, inside and outside
-such an element apart.  Where the page has one, what is outside stays only if a block there is good.
-An ``article`` that is, or stands in, a reader comment, a teaser or an advert doesn't count and
-leaves with it, unless the page has nothing else to read.
+A page is cut into blocks at block-level tags.  Pass one adds up what a block's length, link density
+and stop-word density say, whether it stands in an ``article`` or ``main`` element or beside one,
+and what the elements around it are: menus, page headers and footers, sidebars, notices, adverts,
+forms and reader comments, by tag, role, class or id.  A sum of ``GOOD`` or more makes it part of
+the text, one of ``BAD`` or less not.  Words in a class or id are evidence by how plain they are: an
+advert's or a comment's outweigh any text, while one that may as well name a subject ("social
+history", "related work") only counts against short blocks.  What stands around an article, or
+around most of a page without one, says nothing of it.  Short and middling blocks stay undecided;
+pass two gives them the label of their nearest neighbours that pass one decided by their content,
+inside and outside an article apart.  Where the page has one, what is outside stays only if a block
+there is good.  An ``article`` that is, or stands in, a reader comment, a teaser or an advert doesn't
+count and leaves with it, unless the page has nothing else to read.
+
+Tags are read as the HTML standard has it: a quote counts at the start of an attribute's value only.
 
 Within a block, character references are decoded and white space becomes one space; kept blocks
 are joined by a newline in page order.  Tags that the page ends in are dropped, open elements end
@@ -45,16 +51,25 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-RAW = frozenset("script style noscript template iframe title textarea xmp object svg math select button canvas audio video head".split())
+RAW = frozenset("script style title textarea xmp iframe".split())  # text up to the end tag, or the page's end
+LEFT = frozenset("noscript template object svg math select button canvas audio video".split())  # left out where they end
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 OUTSIDE = frozenset("nav footer aside form menu dialog search".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-# Words in class, id or role that mark what isn't the article.
-HINTS = frozenset(
-    "ad ads adv advert advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu menubar "
-    "breadcrumb breadcrumbs sidebar aside complementary footer foot contentinfo cookie cookies consent gdpr notice notification alert "
-    "popup modal overlay newsletter subscribe signup login comment comments respond discussion disqus share sharing social related "
-    "recommended pagination pager toolbar widget form search searchbox commentlist commentform commentbox replies sidenav topnav subnav "
-    "colophon adbox adslot adunit leaderboard skyscraper toc skiplink".split()
+# Words in class, id or role that mark what isn't the article, in whatever company.
+PLAIN = frozenset(
+    "ad ads adv advert advertisement advertising adsense adbox adslot adunit skyscraper leaderboard sponsor sponsored nav navbar navigation "
+    "sidenav topnav subnav breadcrumb breadcrumbs sidebar complementary footer colophon contentinfo cookie cookies consent gdpr popup modal "
+    "newsletter subscribe comment comments commentlist commentform commentbox disqus pagination pager toolbar widget skiplink".split()
+)
+# Words that do so alone or with their like, and may name a subject with others.
+LONE = frozenset("alert aside banner discussion foot form menu menubar notice notification overlay promo promotion recommended replies respond share sharing signup toc".split())
+# Words that may name a subject by themselves.
+FAINT = frozenset("login related search searchbox social".split())
+# Words that say nothing of a subject.
+PARTS = frozenset(
+    "area articles bar block body bottom box button buttons container content dialog group header icon icons inner item items left link links list "
+    "main module outer page pages panel post posts primary right section site small text title top wrap wrapper".split()
 )
 # Words that mark reader comments, teasers and adverts also on, or around, an article element.
 ASIDES = frozenset(
@@ -64,12 +79,19 @@ ASIDES = frozenset(
 HEADERS = frozenset("header masthead topbar banner".split())
 
 SHORT, LONG, LINKS = 70, 200, 0.4
-STOP_LOW, STOP_HIGH = 0.15, 0.30
-
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
-_MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+STOP_LOW, STOP_HIGH = 0.10, 0.30
+GOOD, BAD = 2, -2
+#: Weight of an element that is never the article, and of one that may be.
+NEVER, MAYBE = -9, -2
+
+_SPACE = " \t\n\f\r"
+#: An attribute: a name and, after an equals sign, a value in quotes or up to white space.  A quote that isn't closed is part of a name.
+_TAG = re.compile(rf"""<(/?)([a-zA-Z][^{_SPACE}/>]*+)((?:[{_SPACE}/]++|[^{_SPACE}/>][^{_SPACE}/>=]*+(?:[{_SPACE}]*+=[{_SPACE}]*+(?:"[^"]*+"|'[^']*+'|(?=>)|[^{_SPACE}>"'][^{_SPACE}>]*+))?+)*+)>""")
+#: For a tag that a quoted value would take to the page's end.
+_LOOSE = re.compile(rf"<(/?)([a-zA-Z][^{_SPACE}/>]*+)([^>]*+)>")
+_MARK = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
-_CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
+_CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW | LEFT}
 
 
 @dataclass
@@ -77,27 +99,41 @@ class Block:
     text: str
     links: int  # characters within links
     inside: bool  # of an article or main element
-    marks: tuple[int, ...]  # elements around it that never hold the article
+    marks: tuple[int, ...]  # elements around it that speak against it
+    heading: bool = False
 
 
 @dataclass
 class _Page:
     blocks: list[Block] = field(default_factory=list)
-    void: set[int] = field(default_factory=set)  # marks that turned out to hold the article
+    weight: dict[int, int] = field(default_factory=dict)  # of marks
+    loose: set[int] = field(default_factory=set)  # marks that may stand around a page's text
+    void: set[int] = field(default_factory=set)  # marks that turned out to
     held: set[int] = field(default_factory=set)  # marks of comments, teasers and adverts, which an article within doesn't void
     article: bool = False
 
 
-def _hinted(attributes: str, inside: bool) -> bool:
+def _marked(attributes: str) -> Iterator[tuple[str, set[str]]]:
     for m in _MARK.finditer(attributes):
-        words = {w.lower() for w in _WORDS.findall(m[1] or m[2] or m[3] or "")}
-        if words & HINTS or not inside and words & HEADERS:
-            return True
-    return False
+        for name in (m[2] or m[3] or m[4] or "").split():
+            yield m[1].lower(), {w.lower() for w in _WORDS.findall(name)}
+
+
+def hint(attributes: str, inside: bool) -> int:
+    """What an element's class, id and role say against it: 0, MAYBE or NEVER."""
+    out = 0
+    for kind, words in _marked(attributes):
+        own = words & (LONE | FAINT)
+        if words & PLAIN or not inside and words & HEADERS or kind == "role" and own:
+            return NEVER
+        if own:
+            plain = words <= LONE | FAINT | PARTS and (words & LONE or len(words) > 1)
+            out = min(out, NEVER if plain else MAYBE)
+    return out
 
 
 def _aside(attributes: str) -> bool:
-    return any({w.lower() for w in _WORDS.findall(m[1] or m[2] or m[3] or "")} & ASIDES for m in _MARK.finditer(attributes))
+    return any(words & ASIDES for _, words in _marked(attributes))
 
 
 def cut(html: str, strict: bool = True) -> _Page:
@@ -107,14 +143,22 @@ def cut(html: str, strict: bool = True) -> _Page:
     """
     page, parts, links = _Page(), [], 0
     stack: list[tuple[str, int]] = []  # open elements that matter: with their mark, -1, -2 if inline and left out, or -3 if an article that counts
-    inside = anchor = serial = breaks = skip = 0
+    inside = anchor = breaks = skip = 0
+    heading = False
+
+    def mark(weight: int, tag: str) -> int:
+        serial = len(page.weight)
+        page.weight[serial] = weight
+        if tag not in OUTSIDE or tag == "form":
+            page.loose.add(serial)
+        return serial
 
     def flush() -> None:
         nonlocal links, breaks
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                page.blocks.append(Block(text, min(links, len(text)), inside > 0, tuple(m for _, m in stack if m >= 0)))
+                page.blocks.append(Block(text, min(links, len(text)), inside > 0, tuple(m for _, m in stack if m >= 0), heading))
             parts.clear()
         links = breaks = 0
 
@@ -162,7 +206,7 @@ def cut(html: str, strict: bool = True) -> _Page:
             at = lt + 1
             continue
         add(html[at:lt])
-        m = _TAG.match(html, lt)
+        m = _TAG.match(html, lt) or _LOOSE.match(html, lt)
         if not m:  # the page ends in a tag
             break
         at, name, ending, attributes = m.end(), m[2].lower(), bool(m[1]), m[3]
@@ -173,24 +217,23 @@ def cut(html: str, strict: bool = True) -> _Page:
             else:
                 parts.append(" ")
             continue
-        if name in RAW:
+        if name in RAW or name in LEFT:
             if not ending and not attributes.endswith("/"):
                 end = _CLOSE[name].search(html, at)
-                at = n if not end else end.start()
+                at = end.start() if end else n if name in RAW else at
             continue
         if name == "a":
             anchor = 0 if ending else 1
         if name in BLOCKS:
             flush()
-            anchor = 0
+            anchor, heading = 0, name in HEADINGS and not ending
             if stack and stack[-1][0] == "p":  # a paragraph ends where another block starts or ends
                 stack.pop()
         if name not in BLOCKS and name not in ("span", "label") or name in VOID or name in ("html", "body"):
             continue
         if name == "p":
-            if not ending and "=" in attributes and _hinted(attributes, inside > 0):
-                serial += 1
-                stack.append((name, serial))
+            if not ending and "=" in attributes and (w := hint(attributes, inside > 0)):
+                stack.append((name, mark(w, name)))
             continue
         if ending:
             if any(name == t for t, _ in stack):
@@ -200,34 +243,40 @@ def cut(html: str, strict: bool = True) -> _Page:
             continue
         if name in ("article", "main"):
             if name == "article" and strict and "=" in attributes and _aside(attributes):
-                serial += 1
-                page.held.add(serial)
-                stack.append((name, serial))
+                stack.append((name, mark(NEVER, name)))
+                page.held.add(stack[-1][1])
                 continue
             if name == "article" and any(m in page.held and m not in page.void for _, m in stack):
                 stack.append((name, -1))
                 continue
             page.article = True
-            page.void.update(m for t, m in stack if m >= 0 and t not in OUTSIDE)
+            page.void.update(m for _, m in stack if m >= 0 and m in page.loose)
             inside += 1
             stack.append((name, -3))
             continue
-        mark = -1
         if name in ("span", "label"):
-            left_out = name == "label" or _hinted(attributes, True)
+            left_out = name == "label" or hint(attributes, True) == NEVER
             skip += left_out
             stack.append((name, -2 if left_out else -1))
             continue
-        if name in OUTSIDE or name == "header" and not inside or "=" in attributes and _hinted(attributes, inside > 0):
+        w = NEVER if name in OUTSIDE or name == "header" and not inside else hint(attributes, inside > 0) if "=" in attributes else 0
+        own = -1
+        if w:
             flush()
-            serial += 1
-            mark = serial
+            own = mark(w, name)
             if strict and _aside(attributes):
-                page.held.add(mark)
+                page.held.add(own)
         if name == "li" and stack and stack[-1][0] == "li":
             close("li")
-        stack.append((name, mark))
+        stack.append((name, own))
     flush()
+    if not page.article:  # nor does what stands around most of the text say anything of it
+        size: dict[int, int] = {}
+        for b in page.blocks:
+            for m in b.marks:
+                size[m] = size.get(m, 0) + len(b.text)
+        whole = sum(len(b.text) for b in page.blocks)
+        page.void.update(m for m, n in size.items() if 2 * n > whole and m in page.loose and m not in page.held)
     return page
 
 
@@ -236,26 +285,29 @@ def stop_density(text: str) -> float:
     return sum(w.strip(".,;:!?\"'()*#$%&") in STOP_WORDS for w in words) / max(1, len(words))
 
 
+def evidence(b: Block, page: _Page) -> int:
+    """What speaks for a block less what speaks against it."""
+    n = len(b.text)
+    out = 3 if n >= LONG else 1 if n >= SHORT else 0
+    if n >= SHORT:
+        density = stop_density(b.text)
+        out += 1 if density >= STOP_HIGH else -1 if density < STOP_LOW else 0
+    if b.links > LINKS * n:
+        out -= 2 if b.heading else 3 if n >= SHORT else 4
+    if page.article:
+        out += 1 if b.inside else -2 if n >= SHORT else -1
+    return out + min((page.weight[m] for m in b.marks if m not in page.void), default=0)
+
+
 def first_pass(page: _Page) -> tuple[list[Block], list[bool | None]]:
     """The blocks that aren't ruled out by where they stand, with True, False or None (undecided)."""
-    blocks = [b for b in page.blocks if not any(m not in page.void for m in b.marks)]
-    labels: list[bool | None] = []
-    for b in blocks:
-        n = len(b.text)
-        if b.links > LINKS * n:
-            labels.append(False)
-        elif n < SHORT:
-            labels.append(None)
-        elif b.inside:
-            labels.append(True)
-        else:
-            density = stop_density(b.text)
-            labels.append(True if density >= STOP_HIGH and n >= LONG else False if density < STOP_LOW else None)
-    return blocks, labels
+    blocks = [b for b in page.blocks if not any(page.weight[m] == NEVER for m in b.marks if m not in page.void)]
+    sums = [evidence(b, page) for b in blocks]
+    return blocks, [True if x >= GOOD else False if x <= BAD else None for x in sums]
 
 
 def second_pass(labels: list[bool | None], inside: list[bool] | None = None) -> list[bool]:
-    """Undecided blocks take the label of the nearest decided one; of two as near, the later.
+    """Undecided blocks take the label of the nearest decided one; of two as near, the later, and inside an article the good one.
 
     For blocks ``inside`` an article its ends count as good neighbours.  Where nothing is decided
     everything is kept.
@@ -276,6 +328,8 @@ def second_pass(labels: list[bool | None], inside: list[bool] | None = None) ->
         a, b = before[k], after[k]
         if a is None and b is None or inside[k] and labels[k] is None and (a is None or b is None):
             out.append(True)
+        elif a is not None and b is not None and inside[k] and b - k == k - a:
+            out.append(bool(labels[a] or labels[b]))
         elif a is None or b is not None and b - k <= k - a:
             out.append(bool(labels[b]))
         else:
