@@ -1,12 +1,16 @@
 """Quality classifier by compression: zstandard dictionaries of good and of bad labelled text.
 
-A text is compressed in pieces with either dictionary.  The difference of the two sizes over their
-sum says which kind of text it is nearer to; a logistic curve fitted on labelled rows that no
-dictionary has seen turns that into a probability.  As repetitive text compresses well with any
-dictionary, the curve also takes the compressed size per byte and its product with the difference.
-
-The fit uses at most ``FIT_ROWS`` labelled rows of each class, those of least hash of doc_id: every
-second one for the dictionaries (at most ``FIT_PIECES`` pieces of each), the others for the curve.
+A text is cut into runs of ``RUN`` words, and each is compressed with either dictionary.  The sum of
+the differences of the two sizes, over the text's length, says which kind of text it is nearer to.
+A run that repeats says nothing new, so it counts once in the sum but each time in the length: what
+is repeated comes to a difference near zero whatever dictionary knows its words.  Short texts lean on
+the mean difference, as if ``PRIOR`` bytes of a usual text were added.  This normalised difference is
+the only thing that the score goes by: a logistic curve over it, fitted on labelled rows that no
+dictionary has seen, makes it a probability.
+
+The fit uses at most ``FIT_ROWS`` labelled rows of each class, those of least hash of doc_id, with
+their whole texts: two in three for the dictionaries, made by a task for each class, the others for
+the curve.
 Rows whose crc32(doc_id) mod 5 is 0 are never learnt from.
 
 Nulls: a null text is scored as the empty text; a null doc_id is scored, counts as not held out,
@@ -17,6 +21,7 @@ rows, smoothed.  An empty table gives no rows.  Columns beyond doc_id and text a
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,16 +32,20 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
-FIT_ROWS, FIT_PIECES, LEAST_ROWS = 4000, 4, 20
-PIECE, DICTIONARY, LEVEL = 2048, 112_640, 3
+FIT_ROWS, LEAST_ROWS = 4000, 20
+RUN, PRIOR = 16, 20
+SAMPLE, DICTIONARY, LEVEL = 2048, 112_640, 3
+#: Segments of the training text and substrings counted, in bytes; without them little text gives a dictionary of a few.
+SEGMENT, SUBSTRING = 64, 8
 
 
 @dataclass
 class Model:
-    """Dictionaries (bad, good) and the curve's weights: centre, scale, slopes, and the constant."""
+    """Dictionaries (bad, good), the mean difference a byte, and the curve's slope and constant."""
 
     dictionaries: tuple[bytes, bytes] | None
-    curve: np.ndarray
+    mean: float
+    slope: float
     constant: float
 
 
@@ -51,46 +60,46 @@ def _compressors(model: Model) -> list:
     return out
 
 
-def features(text: str | None, compressors: list) -> tuple[float, float, float]:
-    raw = (text or "").encode("utf-8")
+def difference(text: str | None, compressors: list) -> tuple[int, int]:
+    """By how many bytes the text is shorter with the good dictionary than with the bad one, and its length."""
+    words = (text or "").encode("utf-8").split()
+    runs = Counter(b" ".join(words[k : k + RUN]) for k in range(0, len(words), RUN))
     bad, good = compressors
-    a = b = 0
-    for k in range(0, max(1, len(raw)), PIECE):
-        piece = raw[k : k + PIECE]
-        a += len(good.compress(piece))
-        b += len(bad.compress(piece))
-    difference, size = (b - a) / (a + b), float(np.log(a / (len(raw) + 20) + 0.01))
-    return difference, size, difference * size
+    return sum(len(bad.compress(x)) - len(good.compress(x)) for x in runs), sum(n * len(x) for x, n in runs.items())
+
+
+def normalised(bytes_less: np.ndarray, length: np.ndarray, mean: float) -> np.ndarray:
+    return (bytes_less + PRIOR * mean) / (length + PRIOR)
 
 
 def _dictionary(samples: list[bytes]) -> bytes:
     import zstandard
 
     try:
-        return zstandard.train_dictionary(DICTIONARY, samples, level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY, samples, level=LEVEL, k=SEGMENT, d=SUBSTRING).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: it is the dictionary itself
         return b"".join(samples)[:DICTIONARY]
 
 
-def _curve(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, float]:
-    """Logistic regression by Newton's method, slightly held towards zero."""
-    mean, spread = x.mean(0), x.std(0) + 1e-9
+def _curve(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Logistic regression of one variable by Newton's method, slightly held towards zero: slope and constant."""
+    mean, spread = float(x.mean()), float(x.std()) + 1e-9
     z = np.c_[(x - mean) / spread, np.ones(len(x))]
-    w = np.zeros(z.shape[1])
+    w = np.zeros(2)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(len(w)), z.T @ (p - y) + 1e-2 * w)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(2), z.T @ (p - y) + 1e-2 * w)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
-    return np.array([mean, spread, w[:-1]]), float(w[-1])
+    return float(w[0] / spread), float(w[1] - w[0] * mean / spread)
 
 
-def _pieces(text: str | None) -> list[bytes]:
-    """At most FIT_PIECES pieces, evenly spread over the text."""
-    raw = (text or "").encode("utf-8")
-    starts = range(0, max(1, len(raw)), PIECE)
-    return [raw[k : k + PIECE] for k in starts[:: max(1, -(-len(starts) // FIT_PIECES))]]
+def _learnt(key: tuple, rows: pa.Table) -> pa.Table:
+    """A class's dictionary, from its whole texts."""
+    texts = [(t or "").encode("utf-8") for _, t in sorted(zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()), key=lambda x: x[0])]
+    samples = [raw[k : k + SAMPLE] for raw in texts for k in range(0, len(raw), SAMPLE)]
+    return pa.table({"good": [key[0].as_py()], "dictionary": pa.array([_dictionary(samples) if samples else b""], pa.binary())})
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -104,39 +113,33 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = durable(first[0].union(first[1]), "fit-labels")  # at most 2 * FIT_ROWS rows
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
     rows = rows.groupBy("doc_id", "quality").agg(F.max("text").alias("text"))
-    rows = durable(rows.withColumn("learn", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0), "fit-rows")
-    learn = "doc_id long, quality int, piece binary"
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [(d, q, p) for d, q, t in zip(b.column("doc_id").to_pylist(), b.column("quality").to_pylist(), b.column("text").to_pylist()) for p in _pieces(t)]
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), (pa.int64(), pa.int32(), pa.binary()))], names=["doc_id", "quality", "piece"])
-
-    # at most 2 * FIT_ROWS * FIT_PIECES pieces of PIECE bytes
-    samples: tuple[list[bytes], list[bytes]] = [], []
-    for r in sorted(rows.where("learn").select("doc_id", "quality", "text").mapInArrow(cut, learn).collect()):
-        samples[r.quality > 0].append(bytes(r.piece))
-    counts = {r.good: r.n for r in rows.groupBy((F.col("quality") > 0).alias("good")).agg(F.count("*").alias("n")).collect()}
+    rows = rows.select("doc_id", "text", (F.col("quality") > 0).alias("good"), (F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3)) < 2).alias("learn"))
+    rows = durable(rows, "fit-rows")
+    counts = {r.good: r.n for r in rows.groupBy("good").agg(F.count("*").alias("n")).collect()}
     good, bad = counts.get(True, 0), counts.get(False, 0)
-    if min(good, bad) < LEAST_ROWS or not all(samples):
-        return Model(None, np.zeros((3, 3)), float(np.log((good + 1) / (bad + 1))))
-    model = Model((_dictionary(samples[0]), _dictionary(samples[1])), np.zeros((3, 3)), 0.0)
-    seen = rows.where("NOT learn").select("doc_id", "text", "quality").mapInArrow(_measure(model), "doc_id long, quality int, x array<double>").collect()
-    seen.sort()
-    y = np.array([float(r.quality > 0) for r in seen])
+    unsure = Model(None, 0.0, 0.0, float(np.log((good + 1) / (bad + 1))))
+    if min(good, bad) < LEAST_ROWS:
+        return unsure
+    made = {r.good: bytes(r.dictionary) for r in rows.where("learn").groupBy("good").applyInArrow(_learnt, "good boolean, dictionary binary").collect()}
+    if not (made.get(True) and made.get(False)):
+        return unsure
+    model = Model((made[False], made[True]), 0.0, 0.0, 0.0)
+    # a few numbers a row, of at most 2 * FIT_ROWS rows
+    seen = np.array(sorted(rows.where("NOT learn").select("doc_id", "text", "good").mapInArrow(_measured(model), "doc_id long, good double, less double, length double").collect()), dtype=float).reshape(-1, 4)
+    y, less, length = seen[:, 1], seen[:, 2], seen[:, 3]
     if not 0 < y.sum() < len(y):
-        return Model(None, np.zeros((3, 3)), float(np.log((good + 1) / (bad + 1))))
-    model.curve, model.constant = _curve(np.array([r.x for r in seen]), y)
+        return unsure
+    model.mean = float((less / np.maximum(length, 1)).mean())
+    model.slope, model.constant = _curve(normalised(less, length, model.mean), y)
     return model
 
 
-def _measure(model: Model):
+def _measured(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = _compressors(model)
         for b in batches:
-            x = [features(t.as_py(), c) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
+            x = np.array([difference(t.as_py(), c) for t in b.column("text")], dtype=float).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("good").cast(pa.int8()).cast(pa.float64()), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["doc_id", "good", "less", "length"])
 
     return run
 
@@ -146,11 +149,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = _compressors(model) if model.dictionaries else None
-        mean, spread, slopes = model.curve
         for b in batches:
             if c:
-                x = np.array([features(t.as_py(), c) for t in b.column("text")]).reshape(-1, 3)
-                z = (x - mean) / spread @ slopes + model.constant
+                x = np.array([difference(t.as_py(), c) for t in b.column("text")], dtype=float).reshape(-1, 2)
+                z = normalised(x[:, 0], x[:, 1], model.mean) * model.slope + model.constant
             else:
                 z = np.full(b.num_rows, model.constant)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], names=["doc_id", "score"])
