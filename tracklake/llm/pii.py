@@ -2,10 +2,11 @@
 
 The patterns find e-mail addresses, IPv4 addresses, payment cards and international phone numbers;
 what they find stays.  Between those spans the random field proposes further ones (spelt-out
-addresses, IPv6, national phone numbers, cards with other separators, secrets): features are read
+addresses, IPv6, national phone numbers, cards with other separators, secrets such as keys, signed
+tokens and passwords that are named, social security and bank account numbers): features are read
 off whole candidate segments and their surroundings, and a dynamic program over segments of at
-most ``TOKENS`` tokens and, if of several, ``CHARS`` characters chooses boundaries and types
-together.  A segment
+most ``TOKENS`` tokens and, if of several, ``CHARS`` characters (a single token can be of any
+length) chooses boundaries and types together.  A segment
 needs a token with a digit, an at sign or a word for one, and starts and ends within ``REACH``
 tokens of such a token.  All other tokens can only be outside, so running the program on the
 islands around those tokens gives the best labelling of the whole text.
@@ -36,8 +37,8 @@ from pyspark.sql import types as T
 from .common import memory_of
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "secret")
-TOKENS, CHARS, REACH = 6, 120, 3
+KINDS = (*BASE, "secret", "id")
+TOKENS, CHARS, REACH = 8, 120, 3
 Span = tuple[int, int, str]
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -97,12 +98,19 @@ _CLOCK = re.compile(r"[0-9]{1,2}(:[0-9]{2}){1,2}")
 _DATE = re.compile(r"[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{2,4}")
 _SPELT = re.compile(r"[\w.+-]+ ?[(\[]at[)\]] ?[\w-]+(?: ?(?:[(\[]dot[)\]]|\.) ?[\w-]+)+|[\w.+-]+ at [\w-]+(?: dot [\w-]+)+", re.I)
 _NATIONAL = re.compile(r"\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}|[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4}|0[0-9]{1,4}(?:[ .-][0-9]{2,4}){2,4}")
+_SSN, _IBAN = re.compile("[0-9]{3}-[0-9]{2}-[0-9]{4}"), re.compile("[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)")
+_AWS, _DIGEST = re.compile("A[KS]IA[A-Z0-9]{16}"), re.compile(r"(?:sha-?[0-9]{1,3}|md5)[:=-][0-9A-Fa-f]+", re.I)
+_MIXED = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[!-~]{6,}")
+_UUID, _ASSIGNED = re.compile("[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"), re.compile(r"(?:password|passwd|pwd|secret|token|api_?key)[=:]\S{6,}", re.I)
+#: Words that say that digits in base 16 are a digest, which isn't a secret.
+_HASHED = {"commit", "sha", "sha1", "sha256", "sha512", "md5", "hash", "digest", "checksum", "revision", "rev", "merge", "tree", "blob", "git", "etag"}
 _NEAR = {
     "phone": {"tel", "phone", "call", "mobile", "fax", "ring", "whatsapp", "telefon"},
-    "secret": {"token", "key", "secret", "password", "apikey", "api_key", "passwd", "bearer"},
+    "secret": {"token", "key", "secret", "password", "apikey", "api_key", "passwd", "pwd", "bearer"},
     "card": {"card", "visa", "mastercard", "credit", "payment"},
     "ip": {"ip", "host", "address", "server"},
     "email": {"mail", "email", "e-mail", "contact", "write"},
+    "id": {"ssn", "social", "iban", "account", "konto", "id"},
 }
 
 
@@ -110,6 +118,11 @@ def _bucket(n: int) -> str:
     return next((f"<{k}" for k in (1, 3, 7, 9, 12, 17, 20) if n < k), "20+")
 
 
+def iban(s: str) -> bool:
+    x = s.replace(" ", "")
+    return bool(_IBAN.fullmatch(s)) and int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+
 def segment_features(text: str, start: int, end: int, before: list[str], tokens: int) -> list[str]:
     """Features of a whole segment; ``before``: the up to three tokens ahead of it."""
     s = text[start:end]
@@ -117,6 +130,8 @@ def segment_features(text: str, start: int, end: int, before: list[str], tokens:
     out = ["bias", f"digits{_bucket(len(digits))}", f"tokens{tokens}", f"first_{'d' if s[0].isdigit() else 'a' if s[0].isalpha() else s[0]}"]
     out += [name for name, ok in (
         ("spelt", _SPELT.fullmatch(s)), ("ipv6", _IPV6.fullmatch(s)), ("hex", _HEX.fullmatch(s)), ("long_key", _LONG_KEY.fullmatch(s)),
+        ("ssn", _SSN.fullmatch(s)), ("iban", iban(s)), ("aws", _AWS.fullmatch(s)), ("digest", _DIGEST.fullmatch(s)), ("uuid", _UUID.fullmatch(s)), ("assigned", _ASSIGNED.fullmatch(s)), ("mixed", tokens == 1 and len(s) < 20 and _MIXED.fullmatch(s)),
+        ("named", tokens == 1 and before and before[-1].strip("\"'`")[-1:] in (":", "=") and before[-1].strip(_EDGE + ":=").lower() in _NEAR["secret"] or len(before) > 1 and before[-1] in (":", "=") and before[-2].strip(_EDGE).lower() in _NEAR["secret"]),
         ("national", _NATIONAL.fullmatch(s)), ("clock", _CLOCK.fullmatch(s)), ("date", _DATE.fullmatch(s)),
         ("card_luhn", 12 <= len(digits) <= 19 and re.fullmatch(r"[0-9]{4}([ ./-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}", s) and luhn(digits)),
         ("letters", any(c.isalpha() for c in s)), ("digits_only", s.isdigit()), ("inner_space", " " in s), ("at", "@" in s or "at)" in s.lower() or "at]" in s.lower()),
@@ -124,6 +139,10 @@ def segment_features(text: str, start: int, end: int, before: list[str], tokens:
     ) if ok]
     words = {w.strip(_EDGE).lower() for w in before}
     out += [f"near_{kind}" for kind, near in _NEAR.items() if words & near]
+    if "hex" in out:
+        out.append("hex_hashed" if words & _HASHED else "hex_quoted" if "quoted" in out else "hex_bare")
+    if "mixed" in out and "named" in out:
+        out.append("mixed_named")
     return out
 
 
@@ -232,18 +251,33 @@ def _made(r: random.Random) -> tuple[str, list[Span]]:
         d = next(d + str(k) for k in range(10) if luhn(d + str(k)))
         return r.choice("./").join(d[k : k + 4] for k in range(0, 16, 4))
 
+    def account() -> str:
+        body = num(r.choice([16, 18, 20, 23]))
+        x = f"DE{98 - int(body + '131400') % 97:02}{body}"
+        return " ".join(x[k : k + 4] for k in range(0, len(x), 4)) if r.random() < 0.6 else x
+
+    base64 = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n - 1)) + num(1)
+    url64 = lambda n: base64(n).replace("+", "-").replace("/", "_")
+    # a password is told by what it stands after
+    named = lambda make: lambda: ("password: ", "pwd: ", "secret = ", "Password: ", "passwd = ")[r.randrange(5)] + make()
+
     wanted = [
         ("email", lambda: f"{word()} (at) {word()} (dot) {r.choice(['com', 'org'])}"), ("email", lambda: f"{word()}[at]{word()}.{r.choice(['net', 'com'])}"),
         ("email", lambda: f"{word()} at {word()} dot {r.choice(['com', 'org'])}"), ("email", lambda: f"{word()}(at){word()}.com"),
         ("ip", lambda: ":".join(hexa(4) for _ in range(8))), ("ip", lambda: f"{hexa(4)}:{hexa(3)}::{hexa(4)}:{num(2)}"),
         ("phone", lambda: f"({num(3)}) {num(3)}-{num(4)}"), ("phone", lambda: f"{num(3)}-{num(3)}-{num(4)}"), ("phone", lambda: f"0{num(2)} {num(4)} {num(4)}"),
         ("card", card), ("secret", lambda: hexa(r.randint(24, 64))), ("secret", lambda: "sk" + num(2) + "".join(r.choice("ABCDEFxyzuvw0123456789_") for _ in range(28))),
+        ("secret", lambda: r.choice(["AKIA", "ASIA"]) + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(15)) + num(1)), ("secret", lambda: base64(r.randint(30, 200))),
+        ("secret", lambda: f"eyJ{url64(r.randint(15, 40))}.eyJ{url64(r.randint(20, 90))}.{url64(43)}"), ("secret", named(lambda: word() + num(r.randint(1, 4)) + r.choice(["", "x"]))), ("secret", lambda: r.choice(["password=", "token=", "secret:", "api_key="]) + word() + num(r.randint(2, 4)) + word()),
+        ("id", lambda: f"{num(3)}-{num(2)}-{num(4)}"), ("id", account),
     ]
     unwanted = [
         lambda: f"{r.randint(1900, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", lambda: f"{r.randint(0, 23)}:{r.randint(0, 59):02}", lambda: str(r.randint(0, 3000)), lambda: f"{num(1)}.{num(1)}.",
         lambda: f"${r.randint(1, 999)},{num(3)}.{num(2)}", lambda: f"{num(2)}-{num(2)}", lambda: num(r.choice([5, 7, 8, 10, 13, 16])), lambda: f"{num(3)} {num(3)} {num(3)}", lambda: f"978-0-{num(3)}-{num(5)}-{num(1)}",
         lambda: f"pp. {num(3)}-{num(3)}", lambda: f"{word()}-{num(2)}", lambda: f"{num(2)}%", lambda: f"v{num(1)}.{num(2)}.{num(1)}", lambda: f"{num(1)}.{num(5)}, {num(2)}.{num(4)}", lambda: "@" + word(), lambda: hexa(r.randint(6, 12)),
         lambda: f"the dot {word()}", lambda: f"{r.randint(1, 12)}/{r.randint(1, 28)}/{r.randint(1990, 2030)}", lambda: f"{num(3)}, {num(3)}, {num(3)}", lambda: f"{word()} (at) {word()}", lambda: f"{num(2)}:{num(2)}:{num(2)}", lambda: f"{num(4)} {num(4)}",
+        lambda: f"{r.choice(['commit', 'Merge', 'git', 'rev', 'revision', 'hash', 'checksum'])} {hexa(40)}", lambda: f"{r.choice(['sha256', 'md5', 'sha1'])}:{hexa(r.choice([32, 40, 64]))}", lambda: f"{r.choice(['SHA256', 'digest', 'md5'])} {hexa(r.choice([32, 64]))}",
+        lambda: f"{hexa(8)}-{hexa(4)}-{hexa(4)}-{hexa(4)}-{hexa(12)}", lambda: word() + num(r.randint(1, 4)), lambda: f"{r.choice(['key', 'token', 'secret', 'password'])} {r.choice([word() + num(1), num(2), 'v' + num(1)])}", lambda: f"{word().upper()}-{num(4)}-{word().upper()}",
     ]
     text, spans = word(), []
     for _ in range(r.randint(1, 3)):
@@ -255,6 +289,9 @@ def _made(r: random.Random) -> tuple[str, list[Span]]:
             quote = '"' if kind == "secret" and r.random() < 0.5 else ""
             text += " " + quote
             made = make()
+            if (at := re.match("[a-zA-Z]+(?:: | = )", made)) and kind == "secret":  # what a password stands after is no part of it
+                text, made = text.rstrip('"') + at[0], made[at.end() :]
+                quote = ""
             spans.append((len(text), len(text) + len(made), kind))
             text += made + quote + r.choice(["", "", ".", ",", "%%%"])
         else:
@@ -265,7 +302,7 @@ def _made(r: random.Random) -> tuple[str, list[Span]]:
 
 
 @cache
-def trained(sentences: int = 600, rounds: int = 6, seed: int = 7) -> Field:
+def trained(sentences: int = 900, rounds: int = 6, seed: int = 7) -> Field:
     """The field, fitted by stochastic ascent (Adagrad) of the conditional likelihood."""
     r, field, data = random.Random(seed), Field(), []
     for _ in range(sentences):
