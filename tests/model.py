@@ -13,7 +13,7 @@ def nm(a, b):
 
 
 def rnd(x, n):
-    return math.floor(x * 10.0**n + 0.500001) / 10.0**n
+    return round(x, n)
 
 
 def tracks(pings):

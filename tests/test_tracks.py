@@ -1,7 +1,6 @@
 """Detectors against hand-made tracks and against a sequential model."""
 
 import random
-from dataclasses import replace
 
 import model
 import pytest
@@ -12,7 +11,7 @@ from tracklake.functions import geo
 from tracklake.operators import detect, loiter, risk, tracks
 from tracklake.plans import flows
 
-CFG = replace(DEFAULT, rounding="floor")
+CFG = DEFAULT
 T0 = 1769212800
 SCHEMA = "mmsi long, ts long, lat double, lon double, sog double, draught double, seq long"
 # vessel: (seconds, lat, lon, sog, draught)
@@ -103,6 +102,22 @@ def test_distance_boundaries(spark):
     assert [(r.m, r.t) for r in x.collect()] == [(500.377, 0.0), (499.265, 0.0), (22.239, 90.0)]
 
 
+def test_encounters_over_all_longitudes(spark):
+    """Neighbouring cells, the antimeridian and the poles: the join by cells finds what the exact distance says."""
+    r, cands = random.Random(4), []
+    places = [(0.0, 179.9995), (0.0, -179.9995), (60.0, -179.999), (60.0, 179.999), (89.999, 10.0), (89.999, -170.0), (-89.9995, 0.0), (0.0, 180.0)]
+    for _ in range(150):
+        lat, lon = r.choice([0.0, 37.0, 71.3, 88.9]), r.choice([-180.0, -0.001, 12.0, 103.8, 179.999])
+        places.append((lat + r.uniform(-0.004, 0.004), max(-180.0, min(180.0, lon + r.uniform(-0.02, 0.02)))))
+    for k, (lat, lon) in enumerate(places):
+        cands.append((219000000 + k, T0 + 60 * k, T0 + 90000 + 60 * k, lat, lon, 1.0, None, None))
+    df = spark.createDataFrame(cands, "mmsi long, ts_start long, ts_end long, avg_lat double, avg_lon double, duration_h double, draught_start double, draught_end double")
+    got = sorted((x.m, x.n) for x in loiter.encounters(df, CFG).select(F.least("a.mmsi", "b.mmsi").alias("m"), F.greatest("a.mmsi", "b.mmsi").alias("n")).collect())
+    at = lambda c: {"lat": c[3], "lon": c[4]}
+    want = sorted((a[0], b[0]) for i, a in enumerate(cands) for b in cands[i + 1 :] if model.nm(at(a), at(b)) * 1852 <= 500.0)
+    assert got == want and len(want) > 100
+
+
 def test_land_cells_exclude_position_errors_from_the_score(spark):
     cells = spark.createDataFrame([(550, 120), (560, 120)], "cell_lat long, cell_lon long")
     f = flows.find(hand(spark).where("mmsi = 219000005"), CFG, cells)

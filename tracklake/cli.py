@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import SparkSession
 
 from .plans import bench, flows
+from .sources import readers, writers
 
 
 def session(workers: int | None = None, split_mb: int | None = None) -> SparkSession:
@@ -27,8 +28,11 @@ def main(argv: Sequence[str] | None = None) -> int:
     one = sub.add_parser("ingest", help="raw report files to the canonical store")
     one.add_argument("files", nargs="+")
     one.add_argument("--out", default="store")
-    two = sub.add_parser("detect", help="a store to result files")
+    one.add_argument("--shards-dir", help="also write shard_NNN.tsv files there")
+    two = sub.add_parser("detect", help="a store, or shard files, to result files")
     two.add_argument("--store", default="store")
+    two.add_argument("--shards-dir", help="a folder of shard_*.tsv to read in place of the store")
+    two.add_argument("--land", help="cells on land, as Parquet or CSV; jumps that end there are position errors")
     two.add_argument("--out", default="results")
     three = sub.add_parser("bench", help="sweeps of ingest over split sizes and workers")
     three.add_argument("files", nargs="+")
@@ -46,9 +50,14 @@ def main(argv: Sequence[str] | None = None) -> int:
         return 0
     spark = session(args.workers, args.split_mb)
     if args.what == "ingest":
-        print(flows.ingest(spark, args.files, args.out).count(), "pings")
+        store = flows.ingest(spark, args.files, args.out)
+        if args.shards_dir:
+            writers.write_shards(store, args.shards_dir)
+        print(store.count(), "pings")
     else:
-        flows.detect_to(spark, args.store, args.out).risk.limit(5).show()
+        pings = readers.read_shards(spark, args.shards_dir) if args.shards_dir else readers.read_pings(spark, args.store)
+        flows.detect_to(spark, pings, args.out, land_cells=readers.read_land(spark, args.land) if args.land else None)
+        spark.read.option("header", True).csv(f"{args.out.rstrip('/')}/dfsi_top").show()
     return 0
 
 

@@ -51,8 +51,8 @@ class Config:
     distance_divisor: float = 10.0
     draught_weight: float = 15.0
     top: int = 5
-    #: "decimal" rounds as Spark does; "floor" rounds half up in binary, alike in other engines
-    rounding: str = "decimal"
+    #: "exact" rounds the binary value, ties to even; "decimal" rounds as Spark does
+    rounding: str = "exact"
 
 
 DEFAULT = Config()

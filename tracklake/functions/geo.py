@@ -44,6 +44,14 @@ def bearing_deg(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return (F.degrees(F.atan2(y, x)) + 360.0) % 360.0
 
 
+def longitude_cells(lat: Column, metres: float, reach: float) -> Column:
+    """How many cells to cut a parallel into, so that two points ``metres`` apart, within ``reach``
+    degrees of ``lat``, lie in the same or in neighbouring ones; 1 where fewer than four would do."""
+    shrink = F.cos(F.radians(F.least(F.lit(90.0), F.abs(lat) + reach)))
+    n = F.floor(F.greatest(F.lit(1.0), shrink * (360.0 / metres_to_latitude(metres) / 1.001)))
+    return F.when(n < 4, F.lit(1)).otherwise(n).cast("long")
+
+
 def metres_to_latitude(metres: float) -> float:
     """Degrees of latitude that cover ``metres``, a little more to be safe."""
     import math

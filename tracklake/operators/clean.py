@@ -29,23 +29,27 @@ def clean(raw: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Valid pings of raw reports, with ``seq`` kept where there is one.
 
     The cheap test of the mobile type comes first.  A row goes if its mobile type, MMSI, time or
-    position isn't valid; a missing speed or draught is 0.
+    position isn't valid; a missing speed or draught is 0.  Columns are stripped once and parsed
+    once, then tested on what was parsed.
     """
     c = cfg.columns
     col = lambda name: F.col(f"`{name}`") if name in raw.columns else F.lit(None).cast("string")
-    parsed = raw.where(mobile_type_valid(col(c.mobile_type), cfg)).select(
-        S.parse_int(col(c.mmsi)).alias("mmsi"),
-        S.parse_ts(col(c.timestamp)).alias("ts"),
-        S.parse_float(col(c.lat)).alias("lat"),
-        S.parse_float(col(c.lon)).alias("lon"),
-        S.parse_float_or_zero(col(c.sog)).alias("sog"),
-        S.parse_float_or_zero(col(c.draught)).alias("draught"),
-        S.clean_text(col(c.ship_type)).alias("ship_type"),
-        S.clean_text(col(c.name)).alias("name"),
-        S.clean_text(col(c.dest)).alias("dest"),
-        *[F.col(x) for x in ("seq",) if x in raw.columns],
-    )
-    return quantise(parsed.where(mmsi_valid(F.col("mmsi"), cfg) & F.col("ts").isNotNull() & coord_valid(F.col("lat"), F.col("lon"))))
+    seq = ["seq"] if "seq" in raw.columns else []
+    names = ("mmsi", "timestamp", "lat", "lon", "sog", "draught", "ship_type", "name", "dest")
+    rows = raw.where(mobile_type_valid(col(c.mobile_type), cfg)).select(*[col(getattr(c, n)).alias(n) for n in names], *seq)
+    text = S.once(S.once(rows, {n: F.col(n) for n in names}, *seq), {n: S.strip(F.col(n)) for n in names}, *seq)
+    t = {n: F.col(n) for n in names}
+    parsed = S.once(
+        text,
+        {
+            "mmsi": S.stripped_int(t["mmsi"]), "ts": S.stripped_ts(t["timestamp"]), "lat": S.stripped_float(t["lat"]), "lon": S.stripped_float(t["lon"]),
+            "sog": F.coalesce(S.stripped_float(t["sog"]), F.lit(0.0)), "draught": F.coalesce(S.stripped_float(t["draught"]), F.lit(0.0)),
+            **{n: S.clean_stripped(t[n]) for n in ("ship_type", "name", "dest")},
+        },
+        *seq,
+    )
+    good = parsed.where(mmsi_valid(F.col("mmsi"), cfg) & F.col("ts").isNotNull() & coord_valid(F.col("lat"), F.col("lon")))
+    return quantise(good.select(*PING, *seq))
 
 
 def quantise(pings: DataFrame) -> DataFrame:

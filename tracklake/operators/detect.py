@@ -79,8 +79,19 @@ def speed_rows(pairs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
     Pairs within one second neither belong to a run nor break it.
     """
-    x = pairs.where("ts > ts0").withColumn("kn", F.col("dist_nm") / F.col("dt_h")).withColumn("jump", is_jump(cfg))
-    return x.withColumn("run", tracks.run_id(~F.col("jump"), tracks.track())).where("jump").drop("jump")
+    x = with_runs(pairs, cfg) if "run" not in pairs.columns else pairs
+    return x.where("jump").drop("jump").withColumn("kn", F.col("dist_nm") / F.col("dt_h"))
+
+
+def with_runs(pairs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """``pairs`` with ``jump`` and, for pairs in time, ``run``; over all pairs of a vessel."""
+    x = pairs.withColumn("jump", F.coalesce(is_jump(cfg), F.lit(False)))
+    return x.withColumn("run", tracks.run_id((F.col("ts") > F.col("ts0")) & ~F.col("jump"), tracks.track()))
+
+
+def with_event(pairs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """The pairs that any detector reports, or may, with ``run`` and ``jump``: all that the detectors need."""
+    return with_runs(pairs, cfg).where(F.col("jump") | is_dark(cfg) | is_draught_change(cfg) | is_simultaneous(cfg))
 
 
 def speed_violations(pairs: DataFrame, cfg: Config = DEFAULT, land_cells: DataFrame | None = None) -> DataFrame:

@@ -39,19 +39,24 @@ def candidates(pings: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 def encounters(cands: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Every overlap of two vessels' candidates within ``loiter_dist_m`` for ``loiter_hours``.
 
-    Joined by key, not by inequality: one side stands in the band of latitude it is in, the other
-    also in its neighbours, and both in every time bucket they reach into; a pair counts in the
-    bucket where its overlap starts.
+    Joined by key, not by inequality: one side stands in the band of latitude, and the cell of that
+    band by longitude, that it is in, the other also in their neighbours, and both in every time
+    bucket they reach into; a pair counts in the bucket where its overlap starts.
     """
     band = geo.metres_to_latitude(cfg.loiter_dist_m)
     width = cfg.pair_bucket_hours * 3600
     x = cands.select(*schema.CANDIDATE, F.floor(F.col("avg_lat") / band).alias("band"))
     x = x.withColumn("place", F.struct("ts_start", F.pmod("mmsi", F.lit(cfg.shards)).alias("shard"), "mmsi"))
     bucket = F.explode(F.sequence(F.floor(F.col("ts_start") / width), F.floor(F.col("ts_end") / width))).alias("bucket")
-    one = x.select(F.struct(*x.columns).alias("a"), "band", bucket)
-    two = x.select(F.struct(*x.columns).alias("b"), bucket, "band").select("b", "bucket", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"))
+    # cells of a band, wherever in it or its neighbours the two are
+    cells = geo.longitude_cells(F.col("band") * band, cfg.loiter_dist_m, 2 * band)
+    cell = F.floor((F.col("lon") + 180.0) / 360.0 * F.col("cells")).cast("long")
+    one = x.select(F.struct(*x.columns).alias("a"), "band", F.col("avg_lon").alias("lon"), cells.alias("cells"), bucket).select("a", "band", "bucket", F.pmod(cell, "cells").alias("cell"))
+    two = x.select(F.struct(*x.columns).alias("b"), F.col("avg_lon").alias("lon"), bucket, "band").select("b", "lon", "bucket", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"))
+    near = F.array_distinct(F.array(*[F.pmod(cell + k, "cells") for k in (-1, 0, 1)]))
+    two = two.select("b", "lon", "bucket", "band", cells.alias("cells")).select("b", "bucket", "band", F.explode(near).alias("cell"))
     start, end = F.greatest("a.ts_start", "b.ts_start"), F.least("a.ts_end", "b.ts_end")
-    pair = one.join(two, ["band", "bucket"]).where("a.place < b.place AND a.mmsi <> b.mmsi AND b.ts_start <= a.ts_end")
+    pair = one.join(two, ["band", "cell", "bucket"]).where("a.place < b.place AND a.mmsi <> b.mmsi AND b.ts_start <= a.ts_end")
     pair = pair.withColumn("ts_start", start).withColumn("ts_end", end).where("ts_start < ts_end")
     pair = pair.where((S.hours(F.col("ts_end") - F.col("ts_start")) >= cfg.loiter_hours) & (F.floor(F.col("ts_start") / width) == F.col("bucket")))
     pair = pair.withColumn("raw_m", geo.haversine_m(F.col("a.avg_lat"), F.col("a.avg_lon"), F.col("b.avg_lat"), F.col("b.avg_lon")))

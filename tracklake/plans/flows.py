@@ -47,9 +47,25 @@ def find(pings: DataFrame, cfg: Config = DEFAULT, land_cells: DataFrame | None =
     return Findings(a, b, c, d, cands, scores)
 
 
-def detect_to(spark: SparkSession, store: str, out: str, cfg: Config = DEFAULT, land_cells: DataFrame | None = None) -> Findings:
-    """Read a store, write the five results as CSV below ``out``."""
-    found = find(readers.read_pings(spark, store), cfg, land_cells)
-    for name, df in (("anomalies_A", found.a), ("anomalies_B", found.b), ("anomalies_C", found.c), ("anomalies_D", found.d), ("dfsi", found.risk)):
-        writers.write_result(df, f"{out.rstrip('/')}/{name}")
+def detect_to(spark: SparkSession, pings: DataFrame, out: str, cfg: Config = DEFAULT, land_cells: DataFrame | None = None) -> Findings:
+    """Write the five results of ``pings`` (a store, or shard files) as CSV below ``out``, and the top of the ranking.
+
+    The pings are read and dealt by vessel once for the pairs that any detector reports and once for
+    the loitering candidates; both are written, and results and score come from these small tables,
+    which stay below ``out/parts``.
+    """
+    out = out.rstrip("/")
+    dealt = clean.by_vessel(pings)
+    kept = {"pairs": detect.with_event(tracks.pairs(dealt), cfg), "candidates": loiter.candidates(dealt, cfg)}
+    for name, df in kept.items():
+        df.write.mode("overwrite").parquet(f"{out}/parts/{name}")
+        kept[name] = spark.read.schema(df.schema).parquet(f"{out}/parts/{name}")
+    pairs, cands = kept["pairs"], kept["candidates"]
+    a, c, d = detect.going_dark(pairs, cfg), detect.draught_change(pairs, cfg), detect.identity_cloning(pairs, cfg, land_cells)
+    b = loiter.loitering_pairs(cands, cfg)
+    scores = risk.ranked(risk.scored(risk.with_pairs(risk.vessel_stats(a, c, d), b), cfg))
+    found = Findings(a, b, c, d, cands, scores)
+    for name, df in (("anomalies_A", a), ("anomalies_B", b), ("anomalies_C", c), ("anomalies_D", d), ("dfsi", scores)):
+        writers.write_result(df, f"{out}/{name}")
+    writers.write_result(risk.top(scores, cfg), f"{out}/dfsi_top", files=1)
     return found

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from .functions import scalars as S
 from .operators import clean, detect, land, loiter, risk, tracks
 from .plans import bench, flows, testbed
 
-CFG = replace(DEFAULT, rounding="floor")
+CFG = DEFAULT
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -27,7 +26,7 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fl(x, n: int):
-    return S.rounded(x, n, "floor")
+    return S.rounded(x, n)
 
 
 def parse_ts(spark: SparkSession, d: str) -> DataFrame:
@@ -184,8 +183,7 @@ def queries() -> dict[str, Query]:
 
 
 def _r(x: str, n: int) -> str:
-    s = f"{10**n}.0::double"
-    return f"(floor(({x}) * {s} + 0.500001::double)::double / {s})"
+    return f"(CASE WHEN ({x}) IS NOT NULL THEN printf('%.{n}f', ({x})::double)::double + 0.0::double END)"
 
 
 def _nm(a: str, b: str, c: str, e: str) -> str:
@@ -229,7 +227,7 @@ led AS (SELECT *, lead(ts) OVER w AS next_ts, sum(CASE WHEN sog < 1.0::double TH
 slow AS (SELECT *, row_number() OVER (PARTITION BY mmsi, run ORDER BY ts, seq) AS up, row_number() OVER (PARTITION BY mmsi, run ORDER BY ts DESC, seq DESC) AS down FROM led WHERE sog < 1.0::double),
 known AS (SELECT *, row_number() OVER (PARTITION BY mmsi, run ORDER BY ts, seq) AS up2, row_number() OVER (PARTITION BY mmsi, run ORDER BY ts DESC, seq DESC) AS down2 FROM slow WHERE draught >= 0.5::double),
 drafts AS (SELECT mmsi, run, max(CASE WHEN up2 = 1 THEN draught END) AS draught_start, max(CASE WHEN down2 = 1 THEN draught END) AS draught_end FROM known GROUP BY ALL),
-grouped AS (SELECT mmsi, run, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, max(CASE WHEN down = 1 THEN next_ts END) AS fast_ts, avg(lat) AS avg_lat, avg(lon) AS avg_lon FROM slow GROUP BY ALL),
+grouped AS (SELECT mmsi, run, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, max(CASE WHEN down = 1 THEN next_ts END) AS fast_ts, list_reduce(list(lat ORDER BY ts, seq), lambda a, b: a + b) / count(*) AS avg_lat, list_reduce(list(lon ORDER BY ts, seq), lambda a, b: a + b) / count(*) AS avg_lon FROM slow GROUP BY ALL),
 loiters AS (SELECT g.*, draught_start, draught_end FROM grouped g LEFT JOIN drafts d ON g.mmsi = d.mmsi AND g.run = d.run),
 ended AS (SELECT *, CASE WHEN (last_ts - first_ts) / 3600.0::double >= 2.0::double THEN last_ts WHEN (fast_ts - first_ts) / 3600.0::double >= 2.0::double THEN fast_ts END AS ts_end FROM loiters WHERE n >= 2),
 cands AS (SELECT mmsi, first_ts AS ts_start, ts_end, avg_lat, avg_lon, (ts_end - first_ts) / 3600.0::double AS lasted, draught_start, draught_end FROM ended WHERE ts_end IS NOT NULL)"""

@@ -40,11 +40,11 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     Rows of fewer than six fields, or with a number that can't be read, are left out.
     """
     jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/shard_*.tsv")
-    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
-    if not found:
+    folder = path.rstrip("/")
+    where = jvm.org.apache.hadoop.fs.Path(f"{folder}/shard_*.tsv")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where):
         raise FileNotFoundError(f"no shard_*.tsv in {path}")
-    line = spark.read.text(f"{path.rstrip('/')}/shard_*.tsv")
+    line = spark.read.text(f"{folder}/shard_*.tsv")
     f = F.split("value", "\t", -1)
     number = lambda k: F.try_element_at(f, F.lit(k))
     x = line.select(
@@ -66,6 +66,12 @@ def read_pings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(T.StructType([*PING.fields, T.StructField("seq", T.LongType()), T.StructField("shard", T.IntegerType())])).parquet(path)
 
 
+def read_land(spark: SparkSession, path: str) -> DataFrame:
+    """Cells on land (cell_lat, cell_lon: floor of the position over 0.1 degrees), from Parquet or CSV with a header."""
+    x = spark.read.option("header", True).csv(path) if path.rstrip("/").endswith((".csv", ".csv.gz")) else spark.read.parquet(path)
+    return x.select(F.col("cell_lat").cast("long"), F.col("cell_lon").cast("long"))
+
+
 def peak_memory_mib(spark: SparkSession, path: str) -> DataFrame:
     """One row: the highest figure of a memory trace's ``MEM`` lines; -1 if it has none."""
     f = F.split(F.col("value"), " ")
