@@ -534,6 +534,44 @@ def test_patterns_place_every_length_once():
     assert packing.packing_patterns({}, 8) == [] and packing.packing_patterns({5: 1, 3: 2, 2: 1}, 8) == [(1, (3, 2)), (1, (5, 3))]
 
 
+def test_patterns_equal_placing_one_by_one():
+    """Each piece by itself, longest first, into the shortest pack if it fits there, else into a new one.
+
+    As in the published method, packs opened for a length take no second piece of it.
+    """
+    import heapq
+
+    r = random.Random(7)
+    for size in (8, 50, 300):
+        histogram = {k: r.randint(1, 60) for k in r.sample(range(1, size + 1), min(size, 30))}
+        packs, turn = [], 0
+        for length in sorted(histogram, reverse=True):
+            fresh = []
+            for _ in range(histogram[length]):
+                turn += 1
+                if packs and packs[0][0] + length <= size:
+                    fill, _, held = heapq.heappop(packs)
+                    heapq.heappush(packs, (fill + length, turn, (*held, length)))
+                else:
+                    fresh.append((length, turn, (length,)))
+            for pack in fresh:
+                heapq.heappush(packs, pack)
+        made = Counter()
+        for count, lengths in packing.packing_patterns(histogram, size):
+            made[lengths] += count
+        fills = lambda packs: sorted(Counter(sum(x) for x in packs).items())
+        assert sum(made.values()) == len(packs) and fills(made.elements()) == fills(x for _, _, x in packs)
+
+
+def test_offsets_are_joined_alike_however_many(spark, prose, monkeypatch):
+    docs = spark.createDataFrame([(k, prose(k, 30 + 7 * (k % 5))) for k in range(60)], "doc_id long, text string").repartition(5)
+    few = sorted(map(tuple, packing.pack(docs, WORDS).collect()))
+    monkeypatch.setattr(packing, "BROADCAST_OFFSETS", 0)
+    many = sorted(map(tuple, packing.pack(docs, WORDS).collect()))
+    assert [x[:5] for x in few] == [x[:5] for x in many]
+    assert sorted(Counter(x[5] for x in few).values()) == sorted(Counter(x[5] for x in many).values())
+
+
 def test_packing_rows(spark, odd, none):
     from tokenizers import Tokenizer
 

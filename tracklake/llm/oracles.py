@@ -93,5 +93,14 @@ SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(low, vec_id))
 FROM embeddings LEFT JOIN n ON vec_id = n.a LEFT JOIN least ON vec_id = least.a"""
 
 
+#: A plain reading of pages whose article is one element of h1 and p, as the driver's are.
+PAGES = r"""
+WITH body AS (SELECT page_id, url, replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '<br>', ' ') AS body FROM pages),
+bare AS (SELECT page_id, url, list_transform(string_split_regex(body, '</?(?:p|h1)>'), lambda x: regexp_replace(x, '<[^>]*>', '', 'g')) AS parts FROM body),
+plain AS (SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(replace(replace(replace(replace(x, '&quot;', '"'), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&'), '\s+', ' ', 'g'))) AS parts FROM bare),
+made AS (SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)) AS text FROM plain)
+SELECT page_id, url, text, length(text) AS n_chars FROM made"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": LINES, "op3_quality_rules": _quality(), "op4_minhash": NEAR, "op5_embedding_dedup": VECTORS}
+    return {"op1_html_extraction": PAGES, "op2_line_dedup": LINES, "op3_quality_rules": _quality(), "op4_minhash": NEAR, "op5_embedding_dedup": VECTORS}

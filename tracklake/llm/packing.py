@@ -37,6 +37,8 @@ REMEMBERED, LONGEST = 500_000, 64
 PUNCTUATION = string.punctuation.encode()
 #: A stop or comma that ends a word after a letter is a piece of its own; a space before it changes no ids.
 _STOP = re.compile(rb"(?<=[a-z])[.,](?=[ \n])")
+#: Rows of three numbers that are broadcast at most.
+BROADCAST_OFFSETS = 200_000
 #: Bytes of text that are split into words at once.
 AT_ONCE = 2_000_000
 
@@ -240,5 +242,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1) ->
             keep = [b.column(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(sequence), pa.array(s["offset"][at])], names=[x.split()[0] for x in PACKED.split(", ")])
 
+    # a row per length and partition that has it: broadcast where they are few, else dealt by both
+    offsets = F.broadcast(offsets) if counted.count() <= BROADCAST_OFFSETS else offsets.hint("merge")
     ranked = pieces.join(offsets, ["length", "part"]).withColumn("rank", F.col("place") + F.col("before"))
     return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(placed, PACKED)
