@@ -231,8 +231,18 @@ def _open_links(still: DataFrame, nodes: DataFrame, sets: DataFrame, percent: in
     return x.select("bucket", "low", "high", "node", "component", "block", "found", "bands").groupBy("bucket", "low", "high").applyInArrow(_across(percent), "a long, b long")
 
 
-def links(docs: DataFrame, sig: DataFrame, width: int, percent: int, stars: int) -> DataFrame:
-    """Confirmed links (a, b) between nodes, enough to give every component."""
+def _merged(of: DataFrame, more: DataFrame) -> DataFrame:
+    """Components (node, component) after links (a, b) more; only the links' own components are solved again."""
+    end = lambda c: of.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
+    named = more.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b"))
+    up = durable(components(named), "merged")
+    old = of.join(up.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    alone = up.withColumnRenamed("id", "node").join(of.select("node"), "node", "left_anti").select("node", "component")
+    return durable(old.union(alone), "components")
+
+
+def clusters(docs: DataFrame, sig: DataFrame, width: int, percent: int, stars: int) -> DataFrame:
+    """(node, component) of the nodes that are linked with another, by confirmed links."""
     nodes = durable(sig.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands")), "nodes")
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -241,9 +251,8 @@ def links(docs: DataFrame, sig: DataFrame, width: int, percent: int, stars: int)
     wanted = nodes.select("node", "doc_id").join(members.select("node").distinct(), "node")
     sets = durable(_sets(docs, durable(wanted, "wanted"), width), "sets")
     pairs = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    found = durable(_confirmed(pairs, sets, percent), "links")
+    of = durable(components(_confirmed(pairs, sets, percent)).select(F.col("id").alias("node"), "component"), "components")
     for k in range(stars + 1):
-        of = components(found).select(F.col("id").alias("node"), "component")
         placed = members.select("bucket", "node").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
         several = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
         still = durable(placed.join(durable(several, "buckets"), "bucket"), "open")
@@ -256,8 +265,10 @@ def links(docs: DataFrame, sig: DataFrame, width: int, percent: int, stars: int)
             more = _confirmed(pairs, sets, percent)
         else:
             more = _open_links(still, nodes, sets, percent)
-        found = durable(found.union(durable(more, "links")), "links")
-    return found
+        more = durable(more, "links")
+        if not more.isEmpty():
+            of = _merged(of, more)
+    return of
 
 
 def grouped(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 20, rows: int = 4, stars: int = 1) -> DataFrame:
@@ -267,7 +278,7 @@ def grouped(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 20,
     included.  ``kept``: whether that is the document itself, or there is nothing it is linked with.
     """
     sig = durable(signatures(docs, width, bands, rows), "signatures")
-    of = components(links(docs, sig, width, percent, stars)).select(F.col("id").alias("node"), "component")
+    of = clusters(docs, sig, width, percent, stars)
     ids = sig.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     placed = durable(ids.join(of, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -279,8 +290,15 @@ def grouped(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 20,
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, with the columns it came with.
 
-    Rows that share a doc_id share its fate: they go if none of them is kept.
+    Rows that share a doc_id share its fate: they go if none of them is kept.  Of rows that share it
+    and the text one stays.  Rows with a null doc_id stay.
     """
-    by_id = grouped(docs, width, percent).groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    gone = durable(by_id.where("NOT kept").select(F.col("doc_id").alias("__gone")), "gone")
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    by_id = durable(grouped(docs, width, percent).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "kept")
+    of = F.col("doc_id").cast("long")
+    gone = by_id.where("NOT kept").select(F.col("doc_id").alias("__gone"))
+    out = docs.join(gone, of == F.col("__gone"), "left_anti")
+    again = durable(by_id.where("kept AND n > 1").select(F.col("doc_id").alias("__again")), "again")
+    if again.isEmpty():
+        return out
+    # ids that repeat are few, or one hot: their rows alone are dealt by id and text, equal ones combined first
+    return out.join(again, of == F.col("__again"), "left_anti").union(out.join(again, of == F.col("__again"), "left_semi").dropDuplicates(["doc_id", "text"]))
