@@ -405,3 +405,10 @@ def test_pipeline_equals_the_stages_by_hand(spark):
     for i, t in rows:
         want[i] = len(library.encode(pii.redact(t, pii.all_spans(t, pii.trained())[1]), add_special_tokens=False).ids) + 1
     assert {r.doc_id: r.doc_tokens for r in corpus_pipeline.run(spark, d).collect()} == want
+
+
+def test_pipeline_of_an_empty_table(spark, none, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    none.write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns[:3] == ["doc_id", "start", "length"]
