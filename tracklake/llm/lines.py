@@ -23,10 +23,10 @@ with half of its words (of its own and of the other's) have their first line in
 ``alike`` of these words are the same there, fields included.  Documents that share each line with
 another text, or share templates but not their fields, aren't near copies and lose these lines.
 
-What is shuffled: for every line its leaf and text hash, lines of frequent leaves once with their
-tokens, for each different one of these a hash per token, and the texts once to be rewritten.  A
-bounded table of leaf slots, broadcast, thins the lines before they are joined; lines that are
-equal are one row before their tokens are counted.
+What is shuffled: for every line two hashes with its text's, lines of frequent leaves or that are
+frequent themselves once for either, for each different one of the former a hash per token, and the
+texts once to be rewritten.  A bounded table of slots, broadcast, thins the lines before they are
+joined; lines that are equal are one row before their tokens are counted.
 
 Nulls: a null text stays null, a null doc_id comes after all others.  Blank lines stay.
 Repeated rows are one document here and share their lines' fate.  An empty table gives no rows.
@@ -67,48 +67,56 @@ def _masked(x: Column) -> Column:
     return F.when(x.rlike("[0-9]"), F.regexp_replace(x, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", VARIABLE)).otherwise(x)
 
 
+def _constants(words: Column) -> Column:
+    return F.size(F.filter(words, lambda w: w != VARIABLE))
+
+
 def lines_of(docs: DataFrame, lead: int) -> DataFrame:
-    """id, text (hash), n (the text's words), place, line, tokens (how many) and leaf of every line.
+    """id, text (hash), n (the text's words), place, line, tokens (how many), leaf and kind of every line.
 
     Tokens are separated by a space each.  The leaf comes from the number of spaces and the line's
-    head alone, so most lines are never split.
+    head, the kind from the whole line, with fields masked, so most lines are never split.
     """
-    x = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("whole"))
-    x = x.select("id", F.xxhash64("whole").alias("text"), _tokens("whole").alias("n"), F.posexplode(F.split("whole", "\n")).alias("place", "line")).select("id", "text", "n", "place", F.btrim("line").alias("line"))
-    x = x.where(F.col("line").rlike(_FULL)).select("*", _tokens("line").alias("tokens"))
-    return x.select("*", F.xxhash64("tokens", _masked(F.substring_index("line", " ", lead))).alias("leaf"))
+    x = docs.where("text IS NOT NULL")
+    # what is of the whole text is computed before its lines are dealt out, not for each
+    x = x.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), _tokens("text").alias("n"), F.split("text", "\n").alias("rows"))
+    x = x.select("id", F.col("hash").alias("text"), "n", F.posexplode("rows").alias("place", "line"))
+    x = x.where(F.col("line").rlike(_FULL)).select("id", "text", "n", "place", F.btrim("line").alias("line")).select("*", _tokens("line").alias("tokens"))
+    leaf = F.xxhash64("tokens", _masked(F.substring_index("line", " ", lead)))
+    # by way of a generator, so that no filter is pushed below what it then would compute again
+    return x.select("id", "text", "n", "place", F.inline(F.array(F.struct("line", "tokens", leaf.alias("leaf"), F.xxhash64(_masked(F.col("line")), F.lit("kind")).alias("kind")))))
 
 
-def frequent_leaves(lines: DataFrame) -> DataFrame:
-    """Leaves met in as many different texts as the least that one of their lines could need."""
-    once = lines.groupBy("leaf", "text").agg(F.first("tokens").alias("tokens")).groupBy("leaf").agg(F.count("*").alias("texts"), F.first("tokens").alias("tokens"))
-    return once.where(F.col("texts") >= needed(F.col("tokens"))).select("leaf")
+def frequent(lines: DataFrame, lead: int, similar: float) -> DataFrame:
+    """(key): leaves and kinds met in as many different texts as the least that a template there, or the line itself, could need."""
+    tokens = F.col("tokens")
+    of_leaf = F.struct(F.col("leaf").alias("key"), F.greatest(F.lit(VARIETY), needed(_size(tokens, lead, similar))).cast("int").alias("least"))
+    each = lines.select("text", F.explode(F.array(of_leaf, F.struct(F.col("kind").alias("key"), F.greatest(F.lit(2), needed(tokens)).cast("int").alias("least")))).alias("of"))
+    once = each.groupBy("of.key", "text").agg(F.first("of.least").alias("least")).groupBy("key").agg(F.count("*").alias("texts"), F.first("least").alias("least"))
+    return once.where("texts >= least").select("key")
 
 
 def templates(lines: DataFrame, lead: int, similar: float) -> DataFrame:
-    """(kind, template, constants, own) for each kind of lines (kind: hash, leaf, words: masked tokens).
-
-    ``constants``: constant tokens of the template, ``own``: those of the line itself.
-    """
-    kinds = lines.groupBy("kind").agg(F.any_value("leaf").alias("leaf"), F.any_value("words").alias("words"), F.count("*").alias("n"))
-    constant = lambda a: F.size(F.filter(a, lambda w: w != VARIABLE))
-    head, size = constant(F.slice("words", 1, lead)), F.size("words")
-    kinds = durable(kinds.select("kind", "leaf", "words", "n", constant(F.col("words")).alias("own"), head.alias("head"), (_size(size, lead, similar) - head).alias("take")).where("own > 0"), "kinds")
-    each = kinds.where("own > head").select("kind", "leaf", "n", "own", "head", "take", F.posexplode("words").alias("at", "word")).where((F.col("at") >= lead) & (F.col("word") != VARIABLE))
-    each = each.select("kind", "leaf", "n", "own", "head", "take", "at", F.xxhash64("leaf", "at", "word").alias("token"))
+    """(kind, template, constants) for each kind of lines (kind, leaf, line); ``constants``: the template's constant tokens."""
+    kinds = lines.groupBy("kind").agg(F.any_value("leaf").alias("leaf"), F.any_value("line").alias("line"), F.count("*").alias("n"))
+    kinds = kinds.select("kind", "leaf", "n", F.split(_masked(F.col("line")), " ").alias("words"))
+    head, size = _constants(F.slice("words", 1, lead)), F.size("words")
+    kinds = durable(kinds.select("kind", "leaf", "words", "n", _constants(F.col("words")).alias("own"), head.alias("head"), (_size(size, lead, similar) - head).alias("take")).where("own > 0"), "kinds")
+    each = kinds.where("own > head").select("kind", "leaf", "n", "head", "take", F.posexplode("words").alias("at", "word")).where((F.col("at") >= lead) & (F.col("word") != VARIABLE))
+    each = each.select("kind", "leaf", "n", "head", "take", "at", F.xxhash64("leaf", "at", "word").alias("token"))
     # sums are written before they are joined, so that the join can split a hot token
     often = durable(each.groupBy("token").agg(F.sum("n").alias("times")), "tokens")
     ranked = F.sort_array(F.collect_list(F.struct((-F.col("times")).alias("rank"), "at", "token")))
-    rows = each.join(often, "token").groupBy("kind").agg(*[F.any_value(c).alias(c) for c in ("leaf", "own", "head")], F.slice(ranked, 1, F.any_value("take")).alias("chosen"))
-    rows = rows.select("kind", F.xxhash64("leaf", F.sort_array("chosen.token")).alias("template"), (F.col("head") + F.size("chosen")).alias("constants"), "own")
-    return rows.union(kinds.where("own = head").select("kind", F.xxhash64("leaf", F.lit(VARIABLE)), "head", "own"))
+    rows = each.drop("n").join(often, "token").groupBy("kind").agg(F.any_value("leaf").alias("leaf"), F.any_value("head").alias("head"), F.slice(ranked, 1, F.any_value("take")).alias("chosen"))
+    rows = rows.select("kind", F.xxhash64("leaf", F.sort_array("chosen.token")).alias("template"), (F.col("head") + F.size("chosen")).alias("constants"))
+    return rows.union(kinds.where("own = head").select("kind", F.xxhash64("leaf", F.lit(VARIABLE)), "head"))
 
 
 _AT = ("none", "id", "text", "place")
 
 
 def _recurring(lines: DataFrame, key: str, constants: str, least: int) -> DataFrame:
-    """(key, first): the keys that lines of enough different texts have, with their first line."""
+    """(group, first line): the keys that lines of enough different texts have, with their first line."""
     at = F.struct(F.col("id").isNull().alias("none"), "id", "text", "place")
     texts = lines.groupBy(key, "text").agg(F.min(at).alias("first"), F.first(constants).alias("constants"))
     often = texts.groupBy(key).agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.first("constants").alias("constants"))
@@ -121,21 +129,25 @@ def recurring(docs: DataFrame, lead: int, similar: float) -> DataFrame:
     ``stays`` is the line that stays, with its text (hash) and place; ``first`` marks it.
     """
     lines = lines_of(docs, lead)
-    leaves = durable(frequent_leaves(lines), "leaves")
-    some = thinned(lines, "leaf", leaves, "leaf").join(leaves, "leaf")
-    some = some.select("id", "text", "n", "place", "leaf", "line", F.split(_masked(F.col("line")), " ").alias("words"))
-    some = durable(some.withColumn("kind", F.xxhash64("words")), "leaf-lines")
-    each = some.select("id", "text", "n", "place", "line", "kind").join(durable(templates(some, lead, similar), "templates"), "kind")
-    each = durable(each, "template-lines")
+    keys = durable(frequent(lines, lead, similar), "frequent")
+    # a line whose leaf is frequent comes once for its template, one that is frequent itself once for its kind
+    some = lines.drop("tokens").withColumn("by", F.explode(F.array(F.struct(F.lit(True).alias("leaf"), F.col("leaf").alias("key")), F.struct(F.lit(False).alias("leaf"), F.col("kind").alias("key")))))
+    some = some.select("id", "text", "n", "place", "line", "leaf", "kind", F.col("by.leaf").alias("by_leaf"), F.col("by.key").alias("key"))
+    some = durable(thinned(some, "key", keys, "key").join(keys, "key").drop("key"), "frequent-lines")
+    of_kind = durable(templates(some.where("by_leaf").select("kind", "leaf", "line"), lead, similar), "templates")
+    columns = ["id", "text", "n", "place", "line"]
+    each = durable(some.where("by_leaf").select(*columns, "kind").join(of_kind, "kind").drop("kind"), "template-lines")
     by_template = durable(_recurring(each, "template", "constants", VARIETY), "recurring")
-    split = each.join(by_template.select(F.col("group").alias("template"), F.lit(True).alias("hit")), "template", "left")
-    each = durable(split.withColumn("group", F.when(F.col("hit"), F.col("template")).otherwise(F.col("kind"))), "groups")
-    by_kind = _recurring(each.where("hit IS NULL"), "kind", "own", 2)
-    found = durable(each.select("group", "id", "text", "n", "place", "line").join(durable(by_template.union(by_kind), "recurring"), "group"), "found")
-    first = (F.col("id").eqNullSafe(F.col("id_1"))) & (F.col("text") == F.col("text_1")) & (F.col("place") == F.col("place_1"))
+    done = durable(of_kind.join(by_template.select(F.col("group").alias("template")), "template").select("kind", F.lit(True).alias("done")), "done")
+    alone = some.where("NOT by_leaf").select(*columns, "kind").join(done, "kind", "left").where("done IS NULL").drop("done")
+    alone = durable(alone.withColumn("own", _constants(F.split(_masked(F.col("line")), " "))).where("own > 0"), "kind-lines")
+    by_kind = durable(_recurring(alone, "kind", "own", 2), "recurring")
+    found = each.withColumnRenamed("template", "group").select("group", *columns).join(by_template, "group").unionByName(alone.withColumnRenamed("kind", "group").select("group", *columns).join(by_kind, "group"))
+    found = durable(found, "found")
+    first = F.col("id").eqNullSafe(F.col("id_1")) & (F.col("text") == F.col("text_1")) & (F.col("place") == F.col("place_1"))
     stays = found.where(first).groupBy("group").agg(F.first(F.struct("text", "place", "n", "line")).alias("stays"))
-    found = found.select("group", "id", "text", "n", "place", "line").join(durable(stays, "stays"), "group")
-    return found.select("id", "text", "n", "place", "line", "stays", ((F.col("text") == F.col("stays.text")) & (F.col("place") == F.col("stays.place"))).alias("first"))
+    found = found.select("group", *columns).join(durable(stays, "stays"), "group")
+    return found.select(*columns, "stays", ((F.col("text") == F.col("stays.text")) & (F.col("place") == F.col("stays.place"))).alias("first"))
 
 
 def near_copies(found: DataFrame, alike: float) -> DataFrame:
