@@ -43,6 +43,8 @@ from .common import durable, thinned
 VARIABLE = "<*>"
 #: Constant tokens, over all texts beyond the first, that show a line to be no coincidence; texts that show lines to be of one template.
 EVIDENCE, VARIETY = 24, 5
+#: A token with a digit.
+_FIELD = "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 #: A character that isn't white space.
 _FULL = r"[^\x20\x09-\x0D]"
 
@@ -64,7 +66,7 @@ def _tokens(x: str) -> Column:
 
 def _masked(x: Column) -> Column:
     """Tokens with a digit as a variable field."""
-    return F.when(x.rlike("[0-9]"), F.regexp_replace(x, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", VARIABLE)).otherwise(x)
+    return F.when(x.rlike("[0-9]"), F.regexp_replace(x, _FIELD, VARIABLE)).otherwise(x)
 
 
 def _constants(words: Column) -> Column:
@@ -72,7 +74,7 @@ def _constants(words: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, lead: int) -> DataFrame:
-    """id, text (hash), n (the text's words), place, line, tokens (how many), leaf and kind of every line.
+    """id, text (hash), n (the text's words), place, line, tokens (how many), own (constant ones), leaf and kind of every line.
 
     Tokens are separated by a space each.  The leaf comes from the number of spaces and the line's
     head, the kind from the whole line, with fields masked, so most lines are never split.
@@ -83,8 +85,9 @@ def lines_of(docs: DataFrame, lead: int) -> DataFrame:
     x = x.select("id", F.col("hash").alias("text"), "n", F.posexplode("rows").alias("place", "line"))
     x = x.where(F.col("line").rlike(_FULL)).select("id", "text", "n", "place", F.btrim("line").alias("line")).select("*", _tokens("line").alias("tokens"))
     leaf = F.xxhash64("tokens", _masked(F.substring_index("line", " ", lead)))
+    own = F.when(F.col("line").rlike("[0-9]"), F.col("tokens") - F.regexp_count("line", F.lit(_FIELD))).otherwise(F.col("tokens"))
     # by way of a generator, so that no filter is pushed below what it then would compute again
-    return x.select("id", "text", "n", "place", F.inline(F.array(F.struct("line", "tokens", leaf.alias("leaf"), F.xxhash64(_masked(F.col("line")), F.lit("kind")).alias("kind")))))
+    return x.select("id", "text", "n", "place", F.inline(F.array(F.struct("line", "tokens", own.alias("own"), leaf.alias("leaf"), F.xxhash64(_masked(F.col("line")), F.lit("kind")).alias("kind")))))
 
 
 def frequent(lines: DataFrame, lead: int, similar: float) -> DataFrame:
@@ -103,12 +106,15 @@ def templates(lines: DataFrame, lead: int, similar: float) -> DataFrame:
     head, size = _constants(F.slice("words", 1, lead)), F.size("words")
     kinds = durable(kinds.select("kind", "leaf", "words", "n", _constants(F.col("words")).alias("own"), head.alias("head"), (_size(size, lead, similar) - head).alias("take")).where("own > 0"), "kinds")
     each = kinds.where("own > head").select("kind", "leaf", "n", "head", "take", F.posexplode("words").alias("at", "word")).where((F.col("at") >= lead) & (F.col("word") != VARIABLE))
-    each = each.select("kind", "leaf", "n", "head", "take", "at", F.xxhash64("leaf", "at", "word").alias("token"))
+    # a row per token, of three longs
+    packed = F.shiftleft(F.col("at").cast("long"), 32) + F.shiftleft(F.col("take").cast("long"), 4) + F.col("head")
+    each = each.select("kind", "n", packed.alias("packed"), F.xxhash64("leaf", "at", "word").alias("token"))
     # sums are written before they are joined, so that the join can split a hot token
     often = durable(each.groupBy("token").agg(F.sum("n").alias("times")), "tokens")
-    ranked = F.sort_array(F.collect_list(F.struct((-F.col("times")).alias("rank"), "at", "token")))
-    rows = each.drop("n").join(often, "token").groupBy("kind").agg(F.any_value("leaf").alias("leaf"), F.any_value("head").alias("head"), F.slice(ranked, 1, F.any_value("take")).alias("chosen"))
-    rows = rows.select("kind", F.xxhash64("leaf", F.sort_array("chosen.token")).alias("template"), (F.col("head") + F.size("chosen")).alias("constants"))
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("times")).alias("rank"), "packed", "token")))  # of a kind, packed orders by place
+    take, head = F.shiftright("packed", 4).bitwiseAND(F.lit(2**28 - 1)).cast("int"), F.col("packed").bitwiseAND(F.lit(15)).cast("int")
+    rows = each.drop("n").join(often, "token").groupBy("kind").agg(F.any_value(head).alias("head"), F.slice(ranked, 1, F.any_value(take)).alias("chosen"))
+    rows = rows.select("kind", F.xxhash64(F.sort_array("chosen.token")).alias("template"), (F.col("head") + F.size("chosen")).alias("constants"))
     return rows.union(kinds.where("own = head").select("kind", F.xxhash64("leaf", F.lit(VARIABLE)), "head"))
 
 
@@ -124,23 +130,27 @@ def _recurring(lines: DataFrame, key: str, constants: str, least: int) -> DataFr
 
 
 def recurring(docs: DataFrame, lead: int, similar: float) -> DataFrame:
-    """(id, text, n, place, line, stays, first): lines of recurring templates, or that recur themselves.
+    """(id, text, n, place, tokens, line, stays, first): lines of recurring templates, or that recur themselves.
 
     ``stays`` is the line that stays, with its text (hash) and place; ``first`` marks it.
     """
+    if not 1 <= lead <= 15:
+        raise ValueError("lead is from 1 to 15")
     lines = lines_of(docs, lead)
     keys = durable(frequent(lines, lead, similar), "frequent")
     # a line whose leaf is frequent comes once for its template, one that is frequent itself once for its kind
-    some = lines.drop("tokens").withColumn("by", F.explode(F.array(F.struct(F.lit(True).alias("leaf"), F.col("leaf").alias("key")), F.struct(F.lit(False).alias("leaf"), F.col("kind").alias("key")))))
-    some = some.select("id", "text", "n", "place", "line", "leaf", "kind", F.col("by.leaf").alias("by_leaf"), F.col("by.key").alias("key"))
+    some = lines.withColumn("by", F.explode(F.array(F.struct(F.lit(True).alias("leaf"), F.col("leaf").alias("key")), F.struct(F.lit(False).alias("leaf"), F.col("kind").alias("key")))))
+    # lines of a kind differ in tokens with digits alone, so those without one are told by their number of tokens
+    line = F.when(F.col("by.leaf") | F.col("line").rlike("[0-9]"), F.col("line"))
+    some = some.select("id", "text", "n", "place", "tokens", "own", line.alias("line"), "leaf", "kind", F.col("by.leaf").alias("by_leaf"), F.col("by.key").alias("key"))
     some = durable(thinned(some, "key", keys, "key").join(keys, "key").drop("key"), "frequent-lines")
     of_kind = durable(templates(some.where("by_leaf").select("kind", "leaf", "line"), lead, similar), "templates")
-    columns = ["id", "text", "n", "place", "line"]
+    columns = ["id", "text", "n", "place", "tokens", "line"]
     each = durable(some.where("by_leaf").select(*columns, "kind").join(of_kind, "kind").drop("kind"), "template-lines")
     by_template = durable(_recurring(each, "template", "constants", VARIETY), "recurring")
     done = durable(of_kind.join(by_template.select(F.col("group").alias("template")), "template").select("kind", F.lit(True).alias("done")), "done")
-    alone = some.where("NOT by_leaf").select(*columns, "kind").join(done, "kind", "left").where("done IS NULL").drop("done")
-    alone = durable(alone.withColumn("own", _constants(F.split(_masked(F.col("line")), " "))).where("own > 0"), "kind-lines")
+    alone = some.where("NOT by_leaf AND own > 0").select(*columns, "own", "kind").join(done, "kind", "left").where("done IS NULL").drop("done")
+    alone = durable(alone, "kind-lines")
     by_kind = durable(_recurring(alone, "kind", "own", 2), "recurring")
     found = each.withColumnRenamed("template", "group").select("group", *columns).join(by_template, "group").unionByName(alone.withColumnRenamed("kind", "group").select("group", *columns).join(by_kind, "group"))
     found = durable(found, "found")
@@ -152,9 +162,9 @@ def recurring(docs: DataFrame, lead: int, similar: float) -> DataFrame:
 
 def near_copies(found: DataFrame, alike: float) -> DataFrame:
     """(id, text) of documents that are near copies of one other text, by their recurring lines."""
-    words = F.split("line", " ")
-    same = F.size(F.filter(F.zip_with(words, F.split("stays.line", " "), lambda a, b: a == b), lambda equal: equal))
-    x = found.where("stays.text <> text").select("id", "text", "n", F.col("stays.text").alias("other"), F.col("stays.n").alias("others"), F.size(words).alias("words"), same.alias("same"))
+    each = F.zip_with(F.split("line", " "), F.split("stays.line", " "), lambda a, b: a == b)
+    same = F.when(F.col("line").isNotNull() & F.col("stays.line").isNotNull(), F.size(F.filter(each, lambda equal: equal))).otherwise(F.col("tokens"))
+    x = found.where("stays.text <> text").select("id", "text", "n", F.col("stays.text").alias("other"), F.col("stays.n").alias("others"), F.col("tokens").alias("words"), same.alias("same"))
     x = x.groupBy("id", "text", "n", "other", "others").agg(F.sum("words").alias("words"), F.sum("same").alias("same"))
     return x.where((2 * F.col("words") >= F.greatest("n", "others")) & (F.col("same") >= alike * F.col("words"))).select("id", "text").distinct()
 
@@ -169,8 +179,8 @@ def marked(docs: DataFrame, lead: int = 3, similar: float = 0.6, alike: float =
     copies = near_copies(found, alike).select(F.col("id").alias("copy_id"), F.col("text").alias("copy"))
     bad = bad.join(copies, F.col("id").eqNullSafe(F.col("copy_id")) & (F.col("text") == F.col("copy")), "left")
     bad = bad.select("id", F.col("text").alias("hash"), "recurring", F.when(F.col("copy").isNull(), F.col("drop")).alias("drop"))
-    x = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("whole"))
-    x = x.join(durable(bad, "bad"), F.col("doc").eqNullSafe(F.col("id")) & (F.xxhash64("whole") == F.col("hash")), "left")
+    x = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("of"))
+    x = x.join(durable(bad, "bad"), F.col("doc").eqNullSafe(F.col("id")) & (F.col("of") == F.col("hash")), "left").withColumn("whole", F.col("row.text").cast("string"))
     # one column after the other: each is computed once
     x = x.withColumn("split", F.split("whole", "\n"))
     x = x.withColumn("n", F.size(F.filter("split", lambda line: line.rlike(_FULL))))
